@@ -47,7 +47,7 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
-def map_batches(df: DataFrame, run, ddl: str) -> DataFrame:
+def map_batches(df: DataFrame, run, ddl) -> DataFrame:
     """``df.mapInArrow`` with this package's modules at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, ddl)

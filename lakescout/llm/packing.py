@@ -12,7 +12,6 @@ dealt out as shorter sequences that each hold a power of two of pieces, which ne
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -25,10 +24,10 @@ from lakescout.llm.common import arrow_schema, durable, map_batches, rows_to_bat
 
 CAPACITY = 4096
 END_ID = 2
-#: Entries that a worker's cache of encoded chunks holds before it starts again.
-CACHE_CHUNKS = 400_000
-#: Chunks are cut at these characters only, which the tokenizer drops and never merges across.
-CUTS = re.compile("[ \t\n\r]+")
+#: Encoded chunks that a worker keeps in each of its two generations.
+CACHE_CHUNKS = 500_000
+#: Longer chunks aren't kept.
+CACHE_CHARS = 48
 
 
 def default_tokenizer() -> str:
@@ -37,39 +36,59 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkIds(dict):
+class ChunkIds:
     """Little-endian unsigned 32-bit ids of chunks without plain white space, encoded once each.
 
     The tokenizer's pattern never matches across white space and its normaliser treats spaces, tabs and line
-    ends alike, so the ids of a text are those of its chunks one after another.
+    ends alike, so the ids of a text are those of its chunks one after another. Chunks that were used lately
+    are kept in two generations: the older one goes when the younger one is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that aren't known yet, all at once."""
-        new = [c for c in chunks if len(c) <= 64 and c not in self]
-        if len(self) + len(new) >= CACHE_CHUNKS:
-            self.clear()
-            new = [c for c in chunks if len(c) <= 64]
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, chunks))
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        # The ids at which a match of the pattern ends.
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        wanted = set().union(*chunked)
+        # Those of the old generation that are still in use grow young again.
+        new = wanted.difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update((c, self.old[c]) for c in again)
+        new.difference_update(again)
+        self.learn(new)
+        out = [b"".join(map(self.young.__getitem__, chunks)) for chunks in chunked]
+        if len(self.young) > CACHE_CHUNKS:
+            self.old, self.young = {c: i for c, i in self.young.items() if len(c) <= CACHE_CHARS}, {"": b""}
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        """Encode chunks that aren't known. Chunks of Latin letters, which are one match each, go together in
+        long strings and are told apart by the ids that end a match; unless there are other than one for each."""
+        words = [c for c in new if 0 < len(c) <= CACHE_CHARS and c.isalpha() and max(c) < "\u0250"]
+        rest = list(new.difference(words))
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                rest += part
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.young[word] = raw[begin:stop]
+                begin = stop
+        for at in range(0, len(rest), 1024):
+            part = rest[at : at + 1024]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.young[word] = np.asarray(found.ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -97,11 +116,9 @@ def cut_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
     def run(batches):
         known, worker, numbers = chunk_ids(path), TaskContext.get().partitionId(), {}
         for _, keys, texts in slices(batches, "doc_id", "text"):
-            chunked = [[c for c in CUTS.split(t or "") if c] for t in texts]
-            known.learn(set().union(*chunked))
             out = [[] for _ in schema]
-            for key, chunks in zip(keys, chunked, strict=True):
-                ids, start = memoryview(known.encode(chunks) + end), 0
+            for key, encoded in zip(keys, known.encode([t or "" for t in texts]), strict=True):
+                ids, start = memoryview(encoded + end), 0
                 for length in cut(len(ids) // 4, capacity):
                     number = numbers.get(length, 0)
                     numbers[length] = number + 1

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from lakescout.llm import html_extraction, quality, toxicity
 from lakescout.llm.bpe_tree import round_trip_digests
 from lakescout.llm.common import table
 from lakescout.llm.packing import pack
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.fit_on(documents, table(spark, sf_dir, "labels")))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -15,9 +25,17 @@ def op6_harmonic_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality.score_documents(documents, quality.fit_on(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_toxicity": op2_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
