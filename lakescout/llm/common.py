@@ -20,16 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the checkpoint folder that the cluster names and read it from there.
-
-    The rows survive the loss of executors and later jobs don't compute them again. The folder is the
-    session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
-    """
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; only where that is unset (tests), one
+    of this application in the machine's temporary folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the checkpoint folder and read it from there: its rows survive the loss of executors,
+    and later jobs don't compute them again."""
+    folder = checkpoint_dir(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

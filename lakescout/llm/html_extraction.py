@@ -50,8 +50,8 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 self.lines.append((text, max(1, self.tags), self.open[-1][2]))
-                self.tags = 0
             self.parts = []
+        self.tags = 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
         _, skipped, region = self.open[-1]
