@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakescout.llm import hmm_lm, html_extraction, quality, toxicity
+from lakescout.llm import hmm_lm, html_extraction, near_dedup, quality, toxicity
 from lakescout.llm.bpe_tree import round_trip_digests
 from lakescout.llm.common import table
 from lakescout.llm.packing import pack
@@ -25,6 +25,10 @@ def op6_harmonic_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_hmm_scoring(spark, sf_dir):
     return hmm_lm.score(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op10_quality": op10_quality,
 }
