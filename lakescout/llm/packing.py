@@ -26,6 +26,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Encoded chunks that a worker keeps in each of its two generations.
 CACHE_CHUNKS = 500_000
+#: Punctuation that is never part of a match with letters before it.
+TAILS = ".,;:!?|*&%$#"
 #: Longer chunks aren't kept.
 CACHE_CHARS = 48
 
@@ -60,8 +62,9 @@ class ChunkIds:
         wanted = set().union(*chunked)
         # Those of the old generation that are still in use grow young again.
         new = wanted.difference(self.young)
-        again = new.intersection(self.old)
-        self.young.update((c, self.old[c]) for c in again)
+        old, young = self.old, self.young
+        again = [c for c in new if c in old]
+        young.update((c, old[c]) for c in again)
         new.difference_update(again)
         self.learn(new)
         out = [b"".join(map(self.young.__getitem__, chunks)) for chunks in chunked]
@@ -71,9 +74,22 @@ class ChunkIds:
 
     def learn(self, new: set[str]) -> None:
         """Encode chunks that aren't known. Chunks of Latin letters, which are one match each, go together in
-        long strings and are told apart by the ids that end a match; unless there are other than one for each."""
-        words = [c for c in new if 0 < len(c) <= CACHE_CHARS and c.isalpha() and max(c) < "\u0250"]
-        rest = list(new.difference(words))
+        long strings and are told apart by the ids that end a match; unless there are other than one for each.
+        Punctuation behind letters is a match of its own."""
+        words, tailed, rest = set(), [], []
+        for c in new:
+            stem = c.rstrip(TAILS)
+            if 0 < len(stem) <= CACHE_CHARS and stem.isalpha() and max(stem) < "\u0250":
+                if len(stem) < len(c):
+                    tail = c[len(stem) :]
+                    tailed.append((c, stem, tail))
+                    if tail not in self.young:
+                        rest.append(tail)
+                if stem not in self.young:
+                    words.add(stem)
+            else:
+                rest.append(c)
+        words = list(words)
         for at in range(0, len(words), 256):
             part = words[at : at + 256]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
@@ -89,6 +105,7 @@ class ChunkIds:
             part = rest[at : at + 1024]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.young[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+        self.young.update((c, self.young[stem] + self.young[tail]) for c, stem, tail in tailed)
 
 
 @lru_cache(maxsize=2)
