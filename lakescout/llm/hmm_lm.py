@@ -316,8 +316,10 @@ def train(batches: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> P
         flat = np.frombuffer(row_classes, np.uint16)
         return flat[np.repeat(mask, lengths)], lengths[mask]
 
-    # The batches with the smallest numbers come from the first workers; a few documents of each are enough to begin.
-    some = batches.select("batch", F.slice("doc_id", 1, 60).alias("doc_id"), F.slice("n", 1, 60).alias("n"), F.expr("substring(classes, 1, 400000)").alias("classes")).orderBy(F.xxhash64("batch")).limit(FIRST_DOCUMENTS // 60).collect()
+    # A few documents of a few batches are enough to begin with; the driver asks for those batches alone.
+    chosen = [r[0] for r in batches.select("batch").orderBy(F.xxhash64("batch"), "batch").limit(FIRST_DOCUMENTS // 60).collect()]
+    some = batches.where(F.col("batch").isin(chosen)).select("batch", F.slice("doc_id", 1, 60).alias("doc_id"), F.slice("n", 1, 60).alias("n"), F.expr("substring(classes, 1, 400000)").alias("classes")).collect()
+    some.sort(key=lambda r: r["batch"])
     first: list[np.ndarray] = []
     for r in some:
         ends = np.cumsum(r["n"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakescout.llm import hmm_lm, html_extraction, near_dedup, quality, toxicity
+from lakescout.llm import hmm_lm, html_extraction, near_dedup, quality, topk_search, toxicity
 from lakescout.llm.bpe_tree import round_trip_digests
 from lakescout.llm.common import table
 from lakescout.llm.packing import pack
@@ -29,6 +29,10 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_cover_tree_topk(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_hmm_scoring(spark, sf_dir):
     return hmm_lm.score(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_cover_tree_topk": op8_cover_tree_topk,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op10_quality": op10_quality,
 }
