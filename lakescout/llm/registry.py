@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakescout.llm import hmm_lm, html_extraction, near_dedup, quality, topk_search, toxicity
+from lakescout.llm import ann_graph, hmm_lm, html_extraction, near_dedup, quality, topk_search, toxicity
 from lakescout.llm.bpe_tree import round_trip_digests
 from lakescout.llm.common import table
 from lakescout.llm.packing import pack
@@ -17,6 +17,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(documents, toxicity.fit_on(documents, table(spark, sf_dir, "labels")))
 
 
+def op3_nn_descent(spark, sf_dir):
+    return ann_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
+    "op3_nn_descent": op3_nn_descent,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
