@@ -6,9 +6,11 @@ are banded; sets that share a band are candidates. Sets that agree in everything
 exact copies cost nothing, and sets of fewer than six shingles link to equal ones only.
 
 Within a band, all pairs are never made. Every set is first checked against the band's leader, for a few leaders
-in turn, and the confirmed links are merged into components. Only members of a band that are outside its largest
-component are then checked against the rest of the band, so every candidate pair is either confirmed, refuted or
-already joined by confirmed links.
+in turn, and the confirmed links are merged into components. In the bands that then still hold several components,
+every member is compared with one pivot p. For members x and y that share nothing outside of the pivot, the
+overlap is at most the smaller of |x & p| and |y & p|. So a pair across components can only be a link if it shares
+an element outside of p, of which a prefix is enough to look at, or if that bound allows it; those pairs are
+checked on full sets, and all others are refuted.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BANDS, ROWS = 20, 4
 PERCENT = 85
 #: Sets with fewer shingles can't reach the similarity without being equal.
 LEAST_SHINGLES = 6
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 CACHE_WORDS = 400_000
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -168,7 +170,7 @@ def link(documents: DataFrame, sketched: DataFrame) -> DataFrame:
     members = durable(banded.join(shared, "band").select("band", "node", "doc_id"))
     sets = durable(candidate_sets(documents, members.select("doc_id", "node").distinct()))
     open_bands = members.select("band", "node", F.col("node").alias("root"))
-    found, left = None, None
+    found = None
     for number in range(STAR_ROUNDS):
         # The leader of a band is another one in each round; a band whose members are all joined has none.
         order = F.struct(F.xxhash64(F.lit(number), "node").alias("order"), F.col("node").alias("node"))
@@ -177,19 +179,50 @@ def link(documents: DataFrame, sketched: DataFrame) -> DataFrame:
         new = durable(confirmed(pairs, sets))
         found = new if found is None else found.union(new)
         roots = components(found)
-        open_bands, before = still_open(members, roots), left
-        left = open_bands.where("root <> main").count()
-        if left == 0 or before is not None and left > before // 2:
-            break
-    else:
-        before = None
-    if left:
-        # What is outside a band's main component meets the rest of its band.
-        minority = open_bands.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("x_root"))
-        rest = open_bands.select("band", "node", "root")
-        pairs = rest.join(minority, "band").where("root <> x_root").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        roots = components(found.union(durable(confirmed(pairs, sets))))
-    return roots
+        open_bands = still_open(members, roots)
+        if open_bands.isEmpty():
+            return roots
+    pairs = across(open_bands, found, sets)
+    return components(found.union(durable(confirmed(pairs, sets))))
+
+
+def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a band's members from different components that the comparison with a pivot can't refute."""
+    degrees = found.select("a").union(found.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node")
+    pivots = open_bands.join(degrees, "node", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).getField("node").alias("pivot"))
+    placed = durable(open_bands.join(pivots, "band"))
+    ddl = "pivot binary, node binary, n long, within long, outside array<long>"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for _, pivot, nodes, left, right in slices(batches, "pivot", "node", "left", "right"):
+            sizes, within, outside = [], [], []
+            for p, x in zip(left, right, strict=True):
+                p, x = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
+                own = np.setdiff1d(x, p, assume_unique=True)
+                sizes.append(len(x))
+                within.append(len(x) - len(own))
+                # Elements outside of the pivot come first in the order that the prefix is taken in.
+                outside.append(own[: len(x) - -(-PERCENT * len(x) // 100) + 1].view(np.int64).tolist())
+            yield rows_to_batch(schema, [pivot, nodes, sizes, within, outside])
+
+    wanted = placed.select("pivot", "node").distinct()
+    both = wanted.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("left")), "pivot").join(sets.select("node", F.col("shingles").alias("right")), "node")
+    compared = durable(map_batches(both.select("pivot", "node", "left", "right"), run, ddl).dropDuplicates(["pivot", "node"]))
+    known = placed.join(compared, ["pivot", "node"])
+    # Pairs that share an element outside of the pivot. Of an element's nodes, one of another component than its
+    # largest one's is in each pair.
+    shared = known.select("band", "node", "root", F.explode("outside").alias("element"))
+    groups = shared.groupBy("band", "element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    in_groups = durable(shared.join(groups.select("band", "element"), ["band", "element"]).select("element", "node", "root").distinct())
+    mains = in_groups.groupBy("element", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "root")).getField("root").alias("main"))
+    minority = in_groups.join(mains, "element").where("root <> main").select("element", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    by_element = in_groups.join(minority, "element").where("root <> x_root").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    # Pairs that the bound allows: (100 + PERCENT) * smaller overlap with the pivot >= PERCENT * (sum of sizes).
+    sizes = known.select("band", "node", "root", "main", "n", "within").where(f"100 * within >= {PERCENT} * n")
+    other = sizes.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("within").alias("x_within"))
+    by_size = sizes.join(other, "band").where((F.col("root") != F.col("x_root")) & ((100 + PERCENT) * F.least("within", "x_within") >= PERCENT * (F.col("n") + F.col("x_n")))).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    return by_element.union(by_size)
 
 
 def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
