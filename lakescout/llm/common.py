@@ -64,11 +64,11 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def slices(batches, *columns: str):
+def slices(batches, *columns: str, rows: int = SLICE_ROWS):
     """Cut Arrow batches into slices of few rows, each given as the batch and its columns as Python lists."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
             yield part, *(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)
 
 

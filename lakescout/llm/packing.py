@@ -59,15 +59,22 @@ class ChunkIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        wanted = set().union(*chunked)
+        young, old, new, out, open_places = self.young, self.old, set(), [], []
+        for chunks in chunked:
+            found = list(map(young.get, chunks))
+            places = [i for i, ids in enumerate(found) if ids is None]
+            new.update([chunks[i] for i in places])
+            out.append(found)
+            open_places.append(places)
         # Those of the old generation that are still in use grow young again.
-        new = wanted.difference(self.young)
-        old, young = self.old, self.young
         again = [c for c in new if c in old]
-        young.update((c, old[c]) for c in again)
+        young.update([(c, old[c]) for c in again])
         new.difference_update(again)
         self.learn(new)
-        out = [b"".join(map(self.young.__getitem__, chunks)) for chunks in chunked]
+        for chunks, found, places in zip(chunked, out, open_places, strict=True):
+            for i in places:
+                found[i] = young[chunks[i]]
+        out = list(map(b"".join, out))
         if len(self.young) > CACHE_CHUNKS:
             self.old, self.young = {c: i for c, i in self.young.items() if len(c) <= CACHE_CHARS}, {"": b""}
         return out
@@ -132,7 +139,7 @@ def cut_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
 
     def run(batches):
         known, worker, numbers = chunk_ids(path), TaskContext.get().partitionId(), {}
-        for _, keys, texts in slices(batches, "doc_id", "text"):
+        for _, keys, texts in slices(batches, "doc_id", "text", rows=1024):
             out = [[] for _ in schema]
             for key, encoded in zip(keys, known.encode([t or "" for t in texts]), strict=True):
                 ids, start = memoryview(encoded + end), 0
