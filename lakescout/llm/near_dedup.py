@@ -16,6 +16,7 @@ checked on full sets, and all others are refuted.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -24,14 +25,30 @@ from pyspark.sql import functions as F
 
 from lakescout.llm.common import arrow_schema, durable, map_batches, rows_to_batch, slices
 
-#: At a similarity of 0.85, the chance that a pair shares none of 20 bands of 4 is (1 - 0.85 ** 4) ** 20 < 4e-7.
-BANDS, ROWS = 20, 4
-PERCENT = 85
-#: Sets with fewer shingles can't reach the similarity without being equal.
-LEAST_SHINGLES = 6
+ROWS = 4
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a link is: words of a shingle, percent of a union that the intersection reaches, and bands of a signature.
+
+    With the default, a pair at the similarity shares none of 20 bands of 4 with a chance of
+    (1 - 0.85 ** 4) ** 20 < 4e-7; with FIVE_WORDS, (1 - 0.8 ** 4) ** 30 < 2e-7.
+    """
+
+    words: int = 3
+    percent: int = 85
+    bands: int = 20
+
+    @property
+    def least(self) -> int:
+        """Sets with fewer shingles can't reach the similarity without being equal."""
+        return -(-self.percent // (100 - self.percent))
+
+
+THREE_WORDS, FIVE_WORDS = Rule(), Rule(5, 80, 30)
 STAR_ROUNDS = 2
 CACHE_WORDS = 400_000
-SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -43,15 +60,17 @@ class WordHashes(dict):
         return found
 
 
-def shingles(text: str | None, known: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's 3-word shingles; of all its words, if it has fewer than three."""
+def shingles(text: str | None, known: WordHashes, size: int = 3) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles of so many words; of all its words, if it has fewer."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < 3:
+    if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    h = w[:-2] * MIX[0] + w[1:-1] * MIX[1] + w[2:] * MIX[2]
+    h = np.zeros(len(words) - size + 1, np.uint64)
+    for at in range(size):
+        h = (h ^ (h >> np.uint64(32))) * MIX[0] + w[at : at + len(h)] * MIX[2]
     h ^= h >> np.uint64(29)
     h *= MIX[1]
     return np.unique(h ^ (h >> np.uint64(32)))
@@ -64,27 +83,28 @@ def permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """Circulant MinHash of a set that isn't empty."""
+def signature(found: np.ndarray, bands: int) -> np.ndarray:
+    """Circulant MinHash of a set that isn't empty: ROWS coordinates for each band."""
+    shifts = np.arange(bands * ROWS, dtype=np.uint32)[:, None]
     scattered = permuted((found ^ (found >> np.uint64(32))).astype(np.uint32), 0x7FEB352D, 0x846CA68B)
-    least = np.full(len(SHIFTS), np.iinfo(np.uint32).max, np.uint32)
+    least = np.full(len(shifts), np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(scattered), 1024):
-        shifted = scattered[None, at : at + 1024] + SHIFTS
+        shifted = scattered[None, at : at + 1024] + shifts
         np.minimum(least, permuted(shifted, 0x85EBCA6B, 0xC2B2AE35).min(1), out=least)
     return least
 
 
 def band_keys(coordinates: np.ndarray) -> list[int]:
     """A 64-bit key for each band: its coordinates and number."""
-    rows = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[2]
+    rows = coordinates.reshape(-1, ROWS).astype(np.uint64)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64) * MIX[2]
     for row in rows.T:
         key = (key ^ row) * MIX[0]
         key ^= key >> np.uint64(31)
     return key.view(np.int64).tolist()
 
 
-def sketch(documents: DataFrame) -> DataFrame:
+def sketch(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, node, bands) of every whole text; node is a digest of the set, null for no shingles or a
     null doc_id, and bands are null for sets too small to have near copies."""
     ddl = "doc_id long, n_shingles long, node binary, bands array<long>"
@@ -95,17 +115,17 @@ def sketch(documents: DataFrame) -> DataFrame:
         for _, keys, texts in slices(batches, "doc_id", "text"):
             counts, nodes, bands = [], [], []
             for key, text in zip(keys, texts, strict=True):
-                found = shingles(text, known)
+                found = shingles(text, known, rule.words)
                 counts.append(len(found))
                 linked = key is not None and len(found) > 0
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if linked else None)
-                bands.append(band_keys(signature(found)) if linked and len(found) >= LEAST_SHINGLES else None)
+                bands.append(band_keys(signature(found, rule.bands)) if linked and len(found) >= rule.least else None)
             yield rows_to_batch(schema, [keys, counts, nodes, bands])
 
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, ddl)
 
 
-def candidate_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+def candidate_sets(documents: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(node, n, shingles) of the wanted (doc_id, node); a row of documents whose set is another one gives none."""
     ddl = "node binary, n long, shingles binary"
     schema = arrow_schema(ddl)
@@ -115,7 +135,7 @@ def candidate_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         for _, nodes, texts in slices(batches, "node", "text"):
             out = [[], [], []]
             for node, text in zip(nodes, texts, strict=True):
-                found = shingles(text, known)
+                found = shingles(text, known, rule.words)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == node:
                     for column, value in zip(out, (node, len(found), found.tobytes()), strict=True):
                         column.append(value)
@@ -125,7 +145,7 @@ def candidate_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(texts.join(wanted, "doc_id").select("node", "text"), run, ddl)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): the distinct pairs of nodes whose full sets reach the similarity."""
     ddl = "a binary, b binary"
     schema = arrow_schema(ddl)
@@ -136,13 +156,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(left, right, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                good.append(100 * both >= rule.percent * (len(x) + len(y) - both))
             at = [i for i, g in enumerate(good) if g]
             yield rows_to_batch(schema, [[part.column(c)[i].as_py() for i in at] for c in (0, 1)])
 
     sizes = sets.select("node", "n")
     a, b = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
-    near = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).select("a", "b")
+    near = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")).select("a", "b")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     return map_batches(both.select("a", "b", "left", "right"), run, ddl).distinct()
 
@@ -162,13 +182,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(documents: DataFrame, sketched: DataFrame) -> DataFrame:
+def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of the nodes that have confirmed links to other nodes."""
     nodes = sketched.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
     banded = durable(nodes.select("node", "doc_id", F.explode("bands").alias("band")))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = durable(banded.join(shared, "band").select("band", "node", "doc_id"))
-    sets = durable(candidate_sets(documents, members.select("doc_id", "node").distinct()))
+    sets = durable(candidate_sets(documents, members.select("doc_id", "node").distinct(), rule))
     open_bands = members.select("band", "node", F.col("node").alias("root"))
     found = None
     for number in range(STAR_ROUNDS):
@@ -176,17 +196,17 @@ def link(documents: DataFrame, sketched: DataFrame) -> DataFrame:
         order = F.struct(F.xxhash64(F.lit(number), "node").alias("order"), F.col("node").alias("node"))
         leaders = open_bands.groupBy("band").agg(F.min(order).getField("node").alias("leader"))
         pairs = open_bands.join(leaders, "band").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        new = durable(confirmed(pairs, sets))
+        new = durable(confirmed(pairs, sets, rule))
         found = new if found is None else found.union(new)
         roots = components(found)
         open_bands = still_open(members, roots)
         if open_bands.isEmpty():
             return roots
-    pairs = across(open_bands, found, sets)
-    return components(found.union(durable(confirmed(pairs, sets))))
+    pairs = across(open_bands, found, sets, rule)
+    return components(found.union(durable(confirmed(pairs, sets, rule))))
 
 
-def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): the pairs of a band's members from different components that the comparison with a pivot can't refute."""
     degrees = found.select("a").union(found.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node")
     pivots = open_bands.join(degrees, "node", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).getField("node").alias("pivot"))
@@ -203,7 +223,7 @@ def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame) -> DataFram
                 sizes.append(len(x))
                 within.append(len(x) - len(own))
                 # Elements outside of the pivot come first in the order that the prefix is taken in.
-                outside.append(own[: len(x) - -(-PERCENT * len(x) // 100) + 1].view(np.int64).tolist())
+                outside.append(own[: len(x) - -(-rule.percent * len(x) // 100) + 1].view(np.int64).tolist())
             yield rows_to_batch(schema, [pivot, nodes, sizes, within, outside])
 
     wanted = placed.select("pivot", "node").distinct()
@@ -218,10 +238,10 @@ def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame) -> DataFram
     mains = in_groups.groupBy("element", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "root")).getField("root").alias("main"))
     minority = in_groups.join(mains, "element").where("root <> main").select("element", F.col("node").alias("x"), F.col("root").alias("x_root"))
     by_element = in_groups.join(minority, "element").where("root <> x_root").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    # Pairs that the bound allows: (100 + PERCENT) * smaller overlap with the pivot >= PERCENT * (sum of sizes).
-    sizes = known.select("band", "node", "root", "main", "n", "within").where(f"100 * within >= {PERCENT} * n")
+    # Pairs that the bound allows: (100 + percent) * smaller overlap with the pivot >= percent * (sum of sizes).
+    sizes = known.select("band", "node", "root", "main", "n", "within").where(f"100 * within >= {rule.percent} * n")
     other = sizes.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("within").alias("x_within"))
-    by_size = sizes.join(other, "band").where((F.col("root") != F.col("x_root")) & ((100 + PERCENT) * F.least("within", "x_within") >= PERCENT * (F.col("n") + F.col("x_n")))).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    by_size = sizes.join(other, "band").where((F.col("root") != F.col("x_root")) & ((100 + rule.percent) * F.least("within", "x_within") >= rule.percent * (F.col("n") + F.col("x_n")))).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
     return by_element.union(by_size)
 
 
@@ -233,15 +253,15 @@ def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return durable(labelled.join(mains, "band").select("band", "node", "root", "main"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with a null doc_id are linked
     with nothing either: their component_id is null and they are kept. Rows that repeat a doc_id are one document
     if their texts agree, and otherwise sets of their own that share the id.
     """
-    sketched = durable(sketch(documents))
-    roots = link(documents, sketched.select("doc_id", "node", "bands"))
+    sketched = durable(sketch(documents, rule))
+    roots = link(documents, sketched.select("doc_id", "node", "bands"), rule)
     ids = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -251,7 +271,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_documents(documents: DataFrame) -> DataFrame:
+def keep_documents(documents: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
     """The rows of documents, with all their columns, but those of a near-duplicate component's other documents."""
-    dropped = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = near_duplicates(documents, rule).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     return documents.join(dropped, documents["doc_id"].cast("long") == F.col("_dropped"), "left_anti")

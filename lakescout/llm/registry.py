@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakescout.llm import ann_graph, hmm_lm, html_extraction, near_dedup, quality, topk_search, toxicity
+from lakescout.llm import ann_graph, hmm_lm, html_extraction, license_scan, near_dedup, quality, topk_search, toxicity
 from lakescout.llm.bpe_tree import round_trip_digests
 from lakescout.llm.common import table
 from lakescout.llm.packing import pack
@@ -21,6 +21,10 @@ def op3_nn_descent(spark, sf_dir):
     return ann_graph.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
     "op3_nn_descent": op3_nn_descent,
+    "op4_license_scan": op4_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -58,4 +63,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": license_scan.oracle()}
