@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,38 +91,49 @@ def merged(tables: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def first_neighbours(points: DataFrame, width: int, parts: int) -> DataFrame:
-    """(p, q, s) from blocks of points that are next to each other along random projections."""
+    """(p, q, s) from blocks of points that are next to each other along random projections.
 
-    def blocks(batches):
-        ids, codes, held = [], [], 0
+    All projections are sorted in one job. A worker numbers its points of each projection; a small table of
+    (projection, worker) counts tells where its numbers start, so blocks don't depend on how the sort was dealt out.
+    """
+    ddl = "projection int, p long, code binary, worker int, number long"
+    schema = pa.schema([("projection", pa.int32()), ("p", pa.int64()), ("code", pa.binary()), ("worker", pa.int32()), ("number", pa.int64())])
+
+    def number(batches):
+        worker, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            ids.append(np.asarray(batch.column(0)))
-            codes.append(bytes_of(batch.column(1), width) if batch.num_rows else np.zeros((0, width), np.float32))
-            held += batch.num_rows
-            while held >= 2 * BLOCK_POINTS:
-                all_ids, all_codes = np.concatenate(ids), np.concatenate(codes)
-                yield from block(all_ids[:BLOCK_POINTS], all_codes[:BLOCK_POINTS])
-                ids, codes, held = [all_ids[BLOCK_POINTS:]], [all_codes[BLOCK_POINTS:]], held - BLOCK_POINTS
-        if held > 1:
-            yield from block(np.concatenate(ids), np.concatenate(codes))
-
-    def block(ids, codes):
-        k = min(NEIGHBOURS, len(ids) - 1)
-        for at in range(0, len(ids), 512):
-            sims = codes[at : at + 512] @ codes.T
-            sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            yield lists(np.repeat(ids[at : at + 512], k), ids[near].ravel(), np.take_along_axis(sims, near, 1).ravel(), k)
-
-    out = None
-    for number in range(PROJECTIONS):
-        # The direction as a column expression, so that Spark sorts by it before Python sees a row.
-        direction = np.random.default_rng(100 + number).standard_normal(width)
-        along = F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, direction.tolist())), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-        ordered = points.select("p", "code", along.alias("along")).repartitionByRange(parts, "along").sortWithinPartitions("along")
-        found = map_batches(ordered.select("p", "code"), blocks, LISTS)
-        out = found if out is None else out.union(found)
-    return merged(out)
+            projections = np.asarray(batch.column(0))
+            numbers = np.empty(len(projections), np.int64)
+            for x in np.unique(projections).tolist():
+                at = np.flatnonzero(projections == x)
+                numbers[at] = seen.get(x, 0) + np.arange(len(at))
+                seen[x] = seen.get(x, 0) + len(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.full(len(projections), worker, np.int32)), pa.array(numbers)], schema=schema)
+
+    directions = np.random.default_rng(100).standard_normal((PROJECTIONS, width))
+    along = [F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, d.tolist())), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) for d in directions]
+    rows = points.select("p", "code", F.posexplode(F.array(*along)).alias("projection", "along"))
+    ordered = rows.repartitionByRange(parts, "projection", "along").sortWithinPartitions("projection", "along", "p")
+    numbered = durable(map_batches(ordered.select("projection", "p", "code"), number, ddl))
+    counts = numbered.groupBy("projection", "worker").agg(F.count(F.lit(1)).alias("n"))
+    each = Window.partitionBy("projection")
+    # Workers hold ranges of the sort in the order of their numbers.
+    starts = counts.select("projection", "worker", (F.sum("n").over(each.orderBy("worker")) - F.col("n")).alias("first"), F.sum("n").over(each).alias("total"))
+    blocks = F.ceil(F.col("total") / BLOCK_POINTS)
+    placed = numbered.join(F.broadcast(starts), ["projection", "worker"]).select("projection", F.floor((F.col("first") + F.col("number")) * blocks / F.col("total")).alias("block"), "p", "code")
+    gathered = placed.groupBy("projection", "block").agg(F.collect_list("p").alias("p"), F.collect_list("code").alias("code"))
+
+    def run(batches):
+        for part in parts_of(batches, 1):
+            ids, codes = np.asarray(part.column(0).flatten()), bytes_of(part.column(1).flatten(), width)
+            k = min(NEIGHBOURS, len(ids) - 1)
+            for at in range(0, len(ids) if k else 0, 512):
+                sims = codes[at : at + 512] @ codes.T
+                sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
+                near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                yield lists(np.repeat(ids[at : at + 512], k), ids[near].ravel(), np.take_along_axis(sims, near, 1).ravel(), k)
+
+    return merged(map_batches(gathered.select("p", "code"), run, LISTS))
 
 
 def improved(graph: DataFrame, before: DataFrame | None, points: DataFrame, width: int) -> DataFrame:
@@ -135,19 +147,23 @@ def improved(graph: DataFrame, before: DataFrame | None, points: DataFrame, widt
     # New ones first; the rest by a hash. Spark keeps so many of each task before it shuffles.
     order = Window.partitionBy("host", "way").orderBy(F.desc("new"), F.xxhash64("host", "guest"))
     chosen = both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= INTRODUCED).groupBy("host", "guest").agg(F.max("new").alias("new"))
-    guests = chosen.join(points.select(F.col("p").alias("guest"), "code"), "guest").groupBy("host").agg(F.collect_list("guest").alias("guest"), F.collect_list("new").alias("new"), F.collect_list("code").alias("code"))
+    # What a guest's farthest neighbour has is what a meeting has to beat.
+    known = points.select(F.col("p").alias("guest"), "code").join(graph.select(F.col("p").alias("guest"), F.when(F.size("s") >= NEIGHBOURS, F.element_at("s", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst")), "guest")
+    guests = chosen.join(known, "guest").groupBy("host").agg(F.collect_list("guest").alias("guest"), F.collect_list("new").alias("new"), F.collect_list("code").alias("code"), F.collect_list("worst").alias("worst"))
 
     def run(batches):
         for part in parts_of(batches, 2000):
             offsets = np.asarray(part.column(0).offsets) - part.column(0).offsets[0].as_py()
             ids, new = np.asarray(part.column(0).flatten()), np.asarray(part.column(1).flatten())
             codes = bytes_of(part.column(2).flatten(), width) if len(ids) else np.zeros((0, width), np.float32)
+            worst = np.asarray(part.column(3).flatten())
             owners, others, found = [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
                 fresh = new[a:b]
                 sims = codes[a:b] @ codes[a:b].T
+                sims[sims <= worst[a:b, None]] = -2
                 sims[~(fresh[:, None] | fresh[None, :])] = -2
                 sims[np.arange(b - a), np.arange(b - a)] = -2
                 k = min(MET, b - a - 1)
@@ -160,7 +176,7 @@ def improved(graph: DataFrame, before: DataFrame | None, points: DataFrame, widt
                 met = sim > -1.5
                 yield lists(owner[met], other[met], sim[met], NEIGHBOURS)
 
-    return merged(graph.union(map_batches(guests.select("guest", "new", "code"), run, LISTS)))
+    return merged(graph.union(map_batches(guests.select("guest", "new", "code", "worst"), run, LISTS)))
 
 
 def build_graph(points: DataFrame, width: int, parts: int, rounds: int = ROUNDS) -> DataFrame:
@@ -219,7 +235,7 @@ def nearest(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
     rows = durable(taking_part(embeddings))
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     width = max(1, width or 0)
-    parts = max(1, min(n // (2 * BLOCK_POINTS), 100_000))
+    parts = max(1, min(PROJECTIONS * n // (4 * BLOCK_POINTS), 100_000))
     # A point is named by its least vec_id; k + 1 of its copies are all that a result can list.
     by_vector = Window.partitionBy("embedding")
     copies = rows.distinct().withColumn("n", F.row_number().over(by_vector.orderBy("vec_id"))).where(F.col("n") <= k + 1)
