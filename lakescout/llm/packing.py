@@ -12,6 +12,7 @@ dealt out as shorter sequences that each hold a power of two of pieces, which ne
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -47,6 +48,8 @@ class ChunkIds:
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library's thread pool would take others'.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,7 +89,7 @@ class ChunkIds:
         words, tailed, rest = set(), [], []
         for c in new:
             stem = c.rstrip(TAILS)
-            if 0 < len(stem) <= CACHE_CHARS and stem.isalpha() and max(stem) < "\u0250":
+            if 0 < len(stem) <= CACHE_CHARS and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
                 if len(stem) < len(c):
                     tail = c[len(stem) :]
                     tailed.append((c, stem, tail))
@@ -97,9 +100,9 @@ class ChunkIds:
             else:
                 rest.append(c)
         words = list(words)
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for part, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
                 rest += part
