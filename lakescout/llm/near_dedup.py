@@ -49,6 +49,8 @@ class Rule:
 THREE_WORDS, FIVE_WORDS = Rule(), Rule(5, 80, 30)
 STAR_ROUNDS = 2
 CACHE_WORDS = 400_000
+#: Buckets that elements are counted in, for an order in which frequent ones come late.
+BUCKETS = 1 << 17
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -206,11 +208,35 @@ def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
     return components(found.union(durable(confirmed(pairs, sets, rule))))
 
 
+def bucket_of(elements: np.ndarray) -> np.ndarray:
+    return (elements >> np.uint64(20)).astype(np.int64) % BUCKETS
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many elements of all sets fall in each of a fixed number of buckets: any order will do for a prefix, and
+    with this one frequent elements come late."""
+    ddl = "bucket long, n long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        found = np.zeros(BUCKETS, np.int64)
+        for _, raw in slices(batches, "shingles"):
+            found += np.bincount(bucket_of(np.frombuffer(b"".join(raw), np.uint64)), minlength=BUCKETS)
+        at = np.flatnonzero(found)
+        yield rows_to_batch(schema, [at, found[at]])
+
+    often = np.zeros(BUCKETS, np.int32)
+    for r in map_batches(sets.select("shingles"), run, ddl).groupBy("bucket").agg(F.sum("n")).collect():
+        often[r[0]] = min(r[1], np.iinfo(np.int32).max)
+    return often
+
+
 def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): the pairs of a band's members from different components that the comparison with a pivot can't refute."""
     degrees = found.select("a").union(found.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node")
     pivots = open_bands.join(degrees, "node", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).getField("node").alias("pivot"))
     placed = durable(open_bands.join(pivots, "band"))
+    often = frequencies(sets)
     ddl = "pivot binary, node binary, n long, within long, outside array<long>"
     schema = arrow_schema(ddl)
 
@@ -222,7 +248,9 @@ def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame, rule: Rule)
                 own = np.setdiff1d(x, p, assume_unique=True)
                 sizes.append(len(x))
                 within.append(len(x) - len(own))
-                # Elements outside of the pivot come first in the order that the prefix is taken in.
+                # The prefix is taken in an order in which elements outside of the pivot come first, rare ones before
+                # frequent ones.
+                own = own[np.lexsort((own, often[bucket_of(own)]))]
                 outside.append(own[: len(x) - -(-rule.percent * len(x) // 100) + 1].view(np.int64).tolist())
             yield rows_to_batch(schema, [pivot, nodes, sizes, within, outside])
 
