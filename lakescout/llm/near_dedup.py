@@ -7,7 +7,8 @@ exact copies cost nothing, and sets of fewer than six shingles link to equal one
 
 Within a band, all pairs are never made. Every set is first checked against the band's leader, for a few leaders
 in turn, and the confirmed links are merged into components. In the bands that then still hold several components,
-every member is compared with one pivot p. For members x and y that share nothing outside of the pivot, the
+every member is compared with one pivot p: what a few sets of the band's largest component have in common. For
+members x and y that share nothing outside of the pivot, the
 overlap is at most the smaller of |x & p| and |y & p|. So a pair across components can only be a link if it shares
 an element outside of p, of which a prefix is enough to look at, or if that bound allows it; those pairs are
 checked on full sets, and all others are refuted.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakescout.llm.common import arrow_schema, durable, map_batches, rows_to_batch, slices
@@ -48,6 +49,8 @@ class Rule:
 
 THREE_WORDS, FIVE_WORDS = Rule(), Rule(5, 80, 30)
 STAR_ROUNDS = 2
+#: Sets whose common elements make a pivot; any pivot gives the same links, a good one refutes more.
+PIVOT_SETS = 24
 CACHE_WORDS = 400_000
 #: Buckets that elements are counted in, for an order in which frequent ones come late.
 BUCKETS = 1 << 17
@@ -204,7 +207,7 @@ def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
         open_bands = still_open(members, roots)
         if open_bands.isEmpty():
             return roots
-    pairs = across(open_bands, found, sets, rule)
+    pairs = across(open_bands, sets, rule)
     return components(found.union(durable(confirmed(pairs, sets, rule))))
 
 
@@ -231,17 +234,28 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return often
 
 
-def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def across(open_bands: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): the pairs of a band's members from different components that the comparison with a pivot can't refute."""
-    degrees = found.select("a").union(found.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node")
-    pivots = open_bands.join(degrees, "node", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).getField("node").alias("pivot"))
-    placed = durable(open_bands.join(pivots, "band"))
+    few = Window.partitionBy("main").orderBy(F.xxhash64("node"), "node")
+    some = open_bands.where("root = main").select("main", "node").distinct().withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= PIVOT_SETS).select("main", "node")
+    pivot_schema = arrow_schema("main binary,pivot binary")
+
+    def common(batches):
+        for _, mains, found_sets in slices(batches, "main", "found"):
+            pivots = []
+            for found in found_sets:
+                elements, counts = np.unique(np.frombuffer(b"".join(found), np.uint64), return_counts=True)
+                pivots.append(elements[3 * counts >= len(found)].tobytes())
+            yield rows_to_batch(pivot_schema, [mains, pivots])
+
+    gathered = some.join(sets.select("node", "shingles"), "node").groupBy("main").agg(F.collect_list("shingles").alias("found"))
+    pivots = durable(map_batches(gathered, common, "main binary, pivot binary"))
     often = frequencies(sets)
-    ddl = "pivot binary, node binary, n long, within long, outside array<long>"
+    ddl = "main binary, node binary, n long, within long, outside array<long>"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for _, pivot, nodes, left, right in slices(batches, "pivot", "node", "left", "right"):
+        for _, mains, nodes, left, right in slices(batches, "main", "node", "left", "right"):
             sizes, within, outside = [], [], []
             for p, x in zip(left, right, strict=True):
                 p, x = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
@@ -252,12 +266,12 @@ def across(open_bands: DataFrame, found: DataFrame, sets: DataFrame, rule: Rule)
                 # frequent ones.
                 own = own[np.lexsort((own, often[bucket_of(own)]))]
                 outside.append(own[: len(x) - -(-rule.percent * len(x) // 100) + 1].view(np.int64).tolist())
-            yield rows_to_batch(schema, [pivot, nodes, sizes, within, outside])
+            yield rows_to_batch(schema, [mains, nodes, sizes, within, outside])
 
-    wanted = placed.select("pivot", "node").distinct()
-    both = wanted.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("left")), "pivot").join(sets.select("node", F.col("shingles").alias("right")), "node")
-    compared = durable(map_batches(both.select("pivot", "node", "left", "right"), run, ddl).dropDuplicates(["pivot", "node"]))
-    known = placed.join(compared, ["pivot", "node"])
+    wanted = open_bands.select("main", "node").distinct()
+    both = wanted.join(pivots.withColumnRenamed("pivot", "left"), "main").join(sets.select("node", F.col("shingles").alias("right")), "node")
+    compared = durable(map_batches(both.select("main", "node", "left", "right"), run, ddl).dropDuplicates(["main", "node"]))
+    known = open_bands.join(compared, ["main", "node"])
     # Pairs that share an element outside of the pivot. Of an element's nodes, one of another component than its
     # largest one's is in each pair.
     shared = known.select("band", "node", "root", F.explode("outside").alias("element"))
