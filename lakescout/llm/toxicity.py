@@ -146,9 +146,20 @@ def fit(toxic: list[str], ordinary: list[str]) -> Dictionaries:
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dictionaries:
-    """Fit on at most so many labelled texts that aren't held out. A doc_id that comes repeatedly counts once."""
-    found = training_rows(documents, labels, "toxic", rows).groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    return fit(found.loc[found["label"] == 1, "text"].tolist(), found.loc[found["label"] == 0, "text"].tolist())
+    """Fit on at most so many labelled texts that aren't held out. A doc_id that comes repeatedly counts once.
+
+    The bounded sample goes to one task, which trains; the driver gets the dictionaries alone.
+    """
+    sample = training_rows(documents, labels, "toxic", rows).groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    schema = arrow_schema("toxic binary,ordinary binary,saving int,slope double,offset double")
+
+    def run(batches):
+        found = sorted((row for _, *columns in slices(batches, "doc_id", "label", "text") for row in zip(*columns, strict=True)), key=lambda row: row[0])
+        model = fit([t for _, y, t in found if y == 1], [t for _, y, t in found if y == 0])
+        yield rows_to_batch(schema, [[model.toxic], [model.ordinary], [model.saving], [model.slope], [model.offset]])
+
+    best = map_batches(sample.repartition(1), run, "toxic binary, ordinary binary, saving int, slope double, offset double").first()
+    return Dictionaries(bytes(best["toxic"]), bytes(best["ordinary"]), best["saving"], best["slope"], best["offset"])
 
 
 def score_documents(documents: DataFrame, model: Dictionaries, threshold: float = THRESHOLD) -> DataFrame:
