@@ -39,7 +39,7 @@ def profile(spark: SparkSession, sf_dir: str, exact: bool = True) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.nodes_of(profile(spark, sf_dir))
+    return cut(P.nodes_of(profile(spark, sf_dir)), 1)
 
 
 def cells(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]] | None = None) -> DataFrame:

@@ -233,7 +233,7 @@ def str_curate(spark, d):
     return L.table(spark, d, "benchmark").select("item_id", F.array_join(TX.curated_tokens(F.split("text", " ")), "|").alias("tokens"))
 
 
-@query(f"""WITH t AS (SELECT item_id, w.token AS token, w.pos AS pos FROM (SELECT item_id, unnest(list_transform(list_zip(x, range(len(x))), lambda z: {{'token': z[1], 'pos': z[2]}})) AS w FROM (SELECT item_id, regexp_extract_all(text, '\\b[a-zA-Z]{{4,}}\\b') AS x FROM benchmark)) WHERE lower(w.token) NOT IN ({_STOP}))
+@query(f"""WITH t AS (SELECT item_id, w.token AS token, w.pos AS pos FROM (SELECT item_id, unnest(list_transform(list_zip(x, range(len(x))), lambda z: {{'token': z[1], 'pos': z[2]}})) AS w FROM (SELECT item_id, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{{4,}}')) AS x FROM benchmark)) WHERE lower(w.token) NOT IN ({_STOP}))
 SELECT item_id, arg_min(token, pos) AS token FROM t GROUP BY item_id, lower(token)""")
 def text_tokens_first_seen(spark, d):
     return R.text_tokens(L.table(spark, d, "benchmark"), "item_id", "text", 20_000)
@@ -401,24 +401,24 @@ def recursive_closure(spark, d):
     return G.closure(L.graph(spark, d)[1], ids(spark, "orders.o_custkey"))
 
 
-_PATHS = f"WITH RECURSIVE {L.PREFIX}, e AS (SELECT DISTINCT src_nid, dst_nid FROM sym WHERE relation = 'PKFK'), walk(at, path) AS (SELECT 'orders.o_custkey', ['orders.o_custkey'] UNION ALL SELECT dst_nid, list_append(path, dst_nid) FROM walk JOIN e ON src_nid = at WHERE len(path) <= 3 AND NOT list_contains(path, dst_nid)), hit AS (SELECT at, path, len(path) - 1 AS hops FROM walk WHERE at IN ('nation.n_nationkey', 'lineitem.l_suppkey')), least_hops AS (SELECT at, min(hops) AS m FROM hit GROUP BY at)"
+_PATHS = f"WITH RECURSIVE {L.PREFIX}, e AS (SELECT DISTINCT src_nid, dst_nid FROM sym WHERE relation = 'PKFK'), walk(cur, path) AS (SELECT 'orders.o_custkey', ['orders.o_custkey'] UNION ALL SELECT dst_nid, list_append(path, dst_nid) FROM walk JOIN e ON src_nid = cur WHERE len(path) <= 3 AND NOT list_contains(path, dst_nid)), hit AS (SELECT cur, path, len(path) - 1 AS hops FROM walk WHERE cur IN ('nation.n_nationkey', 'lineitem.l_suppkey')), least_hops AS (SELECT cur, min(hops) AS m FROM hit GROUP BY cur)"
 
 
-@query(f"{_PATHS} SELECT 'orders.o_custkey' AS source, hit.at AS target, hops::INTEGER AS hops, min(array_to_string(path, '>')) AS path FROM hit JOIN least_hops l ON l.at = hit.at AND hops = m GROUP BY ALL")
+@query(f"{_PATHS} SELECT 'orders.o_custkey' AS source, hit.cur AS target, hops::INTEGER AS hops, min(array_to_string(path, '>')) AS path FROM hit JOIN least_hops l ON l.cur = hit.cur AND hops = m GROUP BY ALL")
 def path_field_shortest(spark, d):
     out = G.shortest_paths(L.graph(spark, d)[1], ids(spark, "orders.o_custkey"), ids(spark, "nation.n_nationkey", "lineitem.l_suppkey"), "PKFK", 3)
     return out.select("source", "target", "hops", F.concat_ws(">", "path").alias("path"))
 
 
-@query(f"{_PATHS} SELECT 'orders.o_custkey' AS source, hit.at AS target, hops::INTEGER AS hops, array_to_string(path, '>') AS path FROM hit JOIN least_hops l ON l.at = hit.at AND hops = m")
+@query(f"{_PATHS} SELECT 'orders.o_custkey' AS source, hit.cur AS target, hops::INTEGER AS hops, array_to_string(path, '>') AS path FROM hit JOIN least_hops l ON l.cur = hit.cur AND hops = m")
 def all_shortest_paths(spark, d):
     out = G.shortest_paths(L.graph(spark, d)[1], ids(spark, "orders.o_custkey"), ids(spark, "nation.n_nationkey", "lineitem.l_suppkey"), "PKFK", 3, every=True)
     return out.select("source", "target", "hops", F.concat_ws(">", "path").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {L.PREFIX}, hops AS (SELECT DISTINCT a.source_name AS s, b.source_name AS t, src_nid || '>' || dst_nid AS hop FROM sym JOIN nodes a ON a.nid = src_nid JOIN nodes b ON b.nid = dst_nid WHERE relation = 'PKFK' AND a.source_name <> b.source_name),
-walk(at, tables, path) AS (SELECT 'orders', ['orders'], []::VARCHAR[] UNION ALL SELECT t, list_append(tables, t), list_append(path, hop) FROM walk JOIN hops ON s = at WHERE at <> 'region' AND len(path) < 2 AND NOT list_contains(tables, t))
-SELECT len(path)::INTEGER AS hops, array_to_string(path, '|') AS path FROM walk WHERE at = 'region'""")
+walk(cur, tables, path) AS (SELECT 'orders', ['orders'], []::VARCHAR[] UNION ALL SELECT t, list_append(tables, t), list_append(path, hop) FROM walk JOIN hops ON s = cur WHERE cur <> 'region' AND len(path) < 2 AND NOT list_contains(tables, t))
+SELECT len(path)::INTEGER AS hops, array_to_string(path, '|') AS path FROM walk WHERE cur = 'region'""")
 def path_table_all(spark, d):
     nodes, edges = L.graph(spark, d)
     return G.table_paths(edges, nodes, "orders", "region", "PKFK", 2)
