@@ -159,6 +159,8 @@ def fit_on(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
         yield rows_to_batch(schema, [[model.toxic], [model.ordinary], [model.saving], [model.slope], [model.offset]])
 
     best = map_batches(sample.repartition(1), run, "toxic binary, ordinary binary, saving int, slope double, offset double").first()
+    if best is None:  # no row, no task
+        return fit([], [])
     return Dictionaries(bytes(best["toxic"]), bytes(best["ordinary"]), best["saving"], best["slope"], best["offset"])
 
 
