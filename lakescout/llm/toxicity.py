@@ -69,7 +69,7 @@ class Dictionaries:
 @lru_cache(maxsize=8)
 def compressor(dictionary: bytes) -> zstd.ZstdCompressor:
     # The window reaches all of either dictionary, and equal tables make equal text cost the same with both.
-    parameters = zstd.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=4, target_length=32, strategy=zstd.STRATEGY_BTOPT, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    parameters = zstd.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=4, target_length=32, strategy=zstd.STRATEGY_BTLAZY2, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
     data = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(compression_params=parameters)
     return zstd.ZstdCompressor(dict_data=data, compression_params=parameters)
