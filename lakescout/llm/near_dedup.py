@@ -49,6 +49,8 @@ class Rule:
 
 THREE_WORDS, FIVE_WORDS = Rule(), Rule(5, 80, 30)
 STAR_ROUNDS = 2
+#: Leaders of its bands that a set is checked against in a round.
+LEADERS = 3
 #: Sets whose common elements make a pivot; any pivot gives the same links, a good one refutes more.
 PIVOT_SETS = 24
 CACHE_WORDS = 400_000
@@ -200,7 +202,10 @@ def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
         # The leader of a band is another one in each round; a band whose members are all joined has none.
         order = F.struct(F.xxhash64(F.lit(number), "node").alias("order"), F.col("node").alias("node"))
         leaders = open_bands.groupBy("band").agg(F.min(order).getField("node").alias("leader"))
-        pairs = open_bands.join(leaders, "band").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        # The rounds only join what they can; a few leaders of a set do most of that, and what is left comes after.
+        first = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(number), "leader"), "leader")
+        led = open_bands.join(leaders, "band").where("node <> leader").select("node", "leader").distinct()
+        pairs = led.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         new = durable(confirmed(pairs, sets, rule))
         found = new if found is None else found.union(new)
         roots = components(found)
