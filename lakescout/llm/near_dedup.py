@@ -167,10 +167,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             at = [i for i, g in enumerate(good) if g]
             yield rows_to_batch(schema, [[part.column(c)[i].as_py() for i in at] for c in (0, 1)])
 
-    sizes = sets.select("node", "n")
-    a, b = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
-    near = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")).select("a", "b")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    left, right = sets.toDF("a", "n_a", "left"), sets.toDF("b", "n_b", "right")
+    both = pairs.distinct().join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
     return map_batches(both.select("a", "b", "left", "right"), run, ddl).distinct()
 
 

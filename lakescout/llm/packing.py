@@ -85,11 +85,12 @@ class ChunkIds:
     def learn(self, new: set[str]) -> None:
         """Encode chunks that aren't known. Chunks of Latin letters, which are one match each, go together in
         long strings and are told apart by the ids that end a match; unless there are other than one for each.
-        Punctuation behind letters is a match of its own."""
+        Punctuation behind letters is a match of its own; but for
+        U+0130, whose lower case ends in a mark that would go with it."""
         words, tailed, rest = set(), [], []
         for c in new:
             stem = c.rstrip(TAILS)
-            if 0 < len(stem) <= CACHE_CHARS and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+            if 0 < len(stem) <= CACHE_CHARS and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
                 if len(stem) < len(c):
                     tail = c[len(stem) :]
                     tailed.append((c, stem, tail))

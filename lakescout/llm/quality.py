@@ -150,17 +150,37 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, rows: int
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Discriminant:
-    """Fit on the training rows. Statistics are computed by the workers; the driver gets a few numbers of each."""
+    """Fit on the training rows. Workers compute the statistics, one task fits on the bounded sample, and the driver
+    gets the parameters alone."""
     ddl = "doc_id long, label int, x array<double>"
     schema = arrow_schema(ddl)
 
-    def run(batches):
+    def describe(batches):
         for _, keys, marks, texts in slices(batches, "doc_id", "label", "text"):
             yield rows_to_batch(schema, [keys, marks, [statistics(t).tolist() for t in texts]])
 
-    found = map_batches(training_rows(documents, labels, "quality", rows).select("doc_id", "label", "text"), run, ddl).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
-    x = np.array(found["x"].tolist()) if len(found) else np.zeros((0, N_STATISTICS))
-    return fit(x, found["label"].to_numpy(dtype=int))
+    def learn(batches):
+        found = sorted((row for _, *columns in slices(batches, "doc_id", "label", "x") for row in zip(*columns, strict=True)), key=lambda row: row[0])
+        yield rows_to_batch(arrow_schema("model array<double>"), [[flattened(fit_rows(found))]])
+
+    sample = map_batches(training_rows(documents, labels, "quality", rows).select("doc_id", "label", "text"), describe, ddl).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
+    best = map_batches(sample.repartition(1), learn, "model array<double>").first()
+    return unflattened(np.array(best["model"])) if best else fit_rows([])
+
+
+def fit_rows(found: list) -> Discriminant:
+    x = np.array([r[2] for r in found]) if found else np.zeros((0, N_STATISTICS))
+    return fit(x, np.array([r[1] for r in found], dtype=int))
+
+
+def flattened(model: Discriminant) -> list[float]:
+    return np.concatenate((model.means.ravel(), model.inverse.ravel(), model.log_det, [model.slope, model.offset])).tolist()
+
+
+def unflattened(numbers: np.ndarray) -> Discriminant:
+    n = N_STATISTICS
+    means, inverse, log_det, (slope, offset) = np.split(numbers, np.cumsum([2 * n, 2 * n * n, 2]))
+    return Discriminant(means.reshape(2, n), inverse.reshape(2, n, n), log_det, float(slope), float(offset))
 
 
 def score_documents(documents: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
