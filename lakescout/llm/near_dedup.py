@@ -49,8 +49,6 @@ class Rule:
 
 THREE_WORDS, FIVE_WORDS = Rule(), Rule(5, 80, 30)
 STAR_ROUNDS = 2
-#: Leaders of its bands that a set is checked against in a round.
-LEADERS = 3
 #: Sets whose common elements make a pivot; any pivot gives the same links, a good one refutes more.
 PIVOT_SETS = 24
 CACHE_WORDS = 400_000
@@ -183,7 +181,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = moved.select(F.col("node").alias("to"), F.col("to").alias("further"))
         new = durable(moved.join(jump, "to").select("node", F.least("to", "further").alias("root"), (F.least("to", "further") < F.col("before")).alias("changed")))
         labels = new.select("node", "root")
-        if new.where("changed").isEmpty():
+        if not new.agg(F.max("changed")).first()[0]:
             return labels
 
 
@@ -200,10 +198,10 @@ def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
         # The leader of a band is another one in each round; a band whose members are all joined has none.
         order = F.struct(F.xxhash64(F.lit(number), "node").alias("order"), F.col("node").alias("node"))
         leaders = open_bands.groupBy("band").agg(F.min(order).getField("node").alias("leader"))
-        # The rounds only join what they can; a few leaders of a set do most of that, and what is left comes after.
-        first = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(number), "leader"), "leader")
-        led = open_bands.join(leaders, "band").where("node <> leader").select("node", "leader").distinct()
-        pairs = led.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        # The rounds only join what they can; two leaders of a set do most of that, and what is left comes after.
+        of = F.struct(F.xxhash64(F.lit(number), "leader").alias("order"), F.col("leader").alias("leader"))
+        led = open_bands.join(leaders, "band").where("node <> leader").groupBy("node").agg(F.array_distinct(F.array(F.min(of), F.max(of))).alias("led"))
+        pairs = led.select("node", F.explode("led.leader").alias("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         new = durable(confirmed(pairs, sets, rule))
         found = new if found is None else found.union(new)
         roots = components(found)
@@ -231,10 +229,15 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(found)
         yield rows_to_batch(schema, [at, found[at]])
 
-    often = np.zeros(BUCKETS, np.int32)
-    for r in map_batches(sets.select("shingles"), run, ddl).groupBy("bucket").agg(F.sum("n")).collect():
-        often[r[0]] = min(r[1], np.iinfo(np.int32).max)
-    return often
+    def together(batches):
+        often = np.zeros(BUCKETS, np.int64)
+        for _, buckets, n in slices(batches, "bucket", "n", rows=10_000):
+            often[buckets] += n
+        yield rows_to_batch(arrow_schema("often binary"), [[np.minimum(often, np.iinfo(np.int32).max).astype(np.int32).tobytes()]])
+
+    # As many rows as there are buckets, whatever the corpus.
+    counted = map_batches(sets.select("shingles"), run, ddl).groupBy("bucket").agg(F.sum("n").alias("n"))
+    return np.frombuffer(bytes(map_batches(counted.repartition(1), together, "often binary").first()["often"]), np.int32)
 
 
 def across(open_bands: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:

@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,6 +166,8 @@ def top_k(embeddings: DataFrame, k: int = TOP, every: int = 20, scale: int = SCA
     right = asked.select("part", "queries", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
 
     def run(frames):
+        import pandas as pd
+
         for frame in frames:
             for some, wanted in zip(frame["data"], frame["queries"], strict=True):
                 ids = np.array([r["vec_id"] for r in some], np.int64)
