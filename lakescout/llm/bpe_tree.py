@@ -16,12 +16,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 
 import tiktoken
 from pyspark.sql import DataFrame
 
-from lakescout.llm.common import arrow_schema, map_batches, rows_to_batch, slices
+from lakescout.llm.common import arrow_schema, held, map_batches, rows_to_batch, slices
 
 BREAKS = frozenset(" \t\n\r")
 LEAF_CHARS = 2048
@@ -34,10 +33,9 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, pattern: str | None = None) -> TreeCodec:
     """The codec of a rank file, made once in each Python worker."""
-    return TreeCodec(path, pattern)
+    return held(__name__, f"{path} {pattern}", lambda: TreeCodec(path, pattern))
 
 
 class TreeCodec:

@@ -53,10 +53,29 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+#: What a Python worker keeps between tasks, by (module, key). Workers outlive stages.
+HELD: dict[tuple, object] = {}
+
+
+def held(module: str, key: str, make):
+    """Something dear that a worker keeps for the tasks of one module."""
+    if (module, key) not in HELD:
+        HELD[module, key] = make()
+    return HELD[module, key]
+
+
 def map_batches(df: DataFrame, run, ddl) -> DataFrame:
-    """``df.mapInArrow`` with this package's modules at hand in the workers."""
+    """``df.mapInArrow`` with this package's modules at hand in the workers. A worker that goes on to another
+    module's tasks lets go of what it held for the one before."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, ddl)
+    module = run.__module__
+
+    def alone(batches):
+        for other in [k for k in HELD if k[0] != module]:
+            del HELD[other]
+        return run(batches)
+
+    return df.mapInArrow(alone, ddl)
 
 
 def remainder(doc_id: Column) -> Column:

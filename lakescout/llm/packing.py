@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakescout.llm.common import arrow_schema, durable, map_batches, rows_to_batch, slices
+from lakescout.llm.common import arrow_schema, durable, held, map_batches, rows_to_batch, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -119,9 +118,8 @@ class ChunkIds:
         self.young.update((c, self.young[stem] + self.young[tail]) for c, stem, tail in tailed)
 
 
-@lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    return held(__name__, path, lambda: ChunkIds(path))
 
 
 def cut(tokens: int, capacity: int) -> list[int]:
