@@ -49,6 +49,8 @@ class Rule:
 
 THREE_WORDS, FIVE_WORDS = Rule(), Rule(5, 80, 30)
 STAR_ROUNDS = 2
+# Joins below ask for merging: a small side would otherwise be broadcast, and each hash table, however small, takes a
+# memory page of megabytes on the driver.
 #: Sets whose common elements make a pivot; any pivot gives the same links, a good one refutes more.
 PIVOT_SETS = 24
 CACHE_WORDS = 400_000
@@ -147,7 +149,7 @@ def candidate_sets(documents: DataFrame, wanted: DataFrame, rule: Rule) -> DataF
             yield rows_to_batch(schema, out)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(texts.join(wanted, "doc_id").select("node", "text"), run, ddl)
+    return map_batches(texts.join(wanted.hint("merge"), "doc_id").select("node", "text"), run, ddl)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -166,7 +168,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield rows_to_batch(schema, [[part.column(c)[i].as_py() for i in at] for c in (0, 1)])
 
     left, right = sets.toDF("a", "n_a", "left"), sets.toDF("b", "n_b", "right")
-    both = pairs.distinct().join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
+    both = pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
     return map_batches(both.select("a", "b", "left", "right"), run, ddl).distinct()
 
 
@@ -176,10 +178,10 @@ def components(links: DataFrame) -> DataFrame:
     both = durable(links.union(links.select("b", "a")).toDF("node", "other").distinct())
     labels = durable(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        moved = labels.join(near, "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("before"))
+        near = both.join(labels.select(F.col("node").alias("other"), "root").hint("merge"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        moved = labels.join(near.hint("merge"), "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("before"))
         jump = moved.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        new = durable(moved.join(jump, "to").select("node", F.least("to", "further").alias("root"), (F.least("to", "further") < F.col("before")).alias("changed")))
+        new = durable(moved.join(jump.hint("merge"), "to").select("node", F.least("to", "further").alias("root"), (F.least("to", "further") < F.col("before")).alias("changed")))
         labels = new.select("node", "root")
         if not new.agg(F.max("changed")).first()[0]:
             return labels
@@ -190,7 +192,7 @@ def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
     nodes = sketched.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
     banded = durable(nodes.select("node", "doc_id", F.explode("bands").alias("band")))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = durable(banded.join(shared, "band").select("band", "node", "doc_id"))
+    members = durable(banded.join(shared.hint("merge"), "band").select("band", "node", "doc_id"))
     sets = durable(candidate_sets(documents, members.select("doc_id", "node").distinct(), rule))
     open_bands = members.select("band", "node", F.col("node").alias("root"))
     found = None
@@ -200,7 +202,7 @@ def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
         leaders = open_bands.groupBy("band").agg(F.min(order).getField("node").alias("leader"))
         # The rounds only join what they can; two leaders of a set do most of that, and what is left comes after.
         of = F.struct(F.xxhash64(F.lit(number), "leader").alias("order"), F.col("leader").alias("leader"))
-        led = open_bands.join(leaders, "band").where("node <> leader").groupBy("node").agg(F.array_distinct(F.array(F.min(of), F.max(of))).alias("led"))
+        led = open_bands.join(leaders.hint("merge"), "band").where("node <> leader").groupBy("node").agg(F.array_distinct(F.array(F.min(of), F.max(of))).alias("led"))
         pairs = led.select("node", F.explode("led.leader").alias("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         new = durable(confirmed(pairs, sets, rule))
         found = new if found is None else found.union(new)
@@ -254,7 +256,7 @@ def across(open_bands: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 pivots.append(elements[3 * counts >= len(found)].tobytes())
             yield rows_to_batch(pivot_schema, [mains, pivots])
 
-    gathered = some.join(sets.select("node", "shingles"), "node").groupBy("main").agg(F.collect_list("shingles").alias("found"))
+    gathered = some.join(sets.select("node", "shingles").hint("merge"), "node").groupBy("main").agg(F.collect_list("shingles").alias("found"))
     pivots = durable(map_batches(gathered, common, "main binary, pivot binary"))
     often = frequencies(sets)
     ddl = "main binary, node binary, n long, within long, outside array<long>"
@@ -275,30 +277,30 @@ def across(open_bands: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield rows_to_batch(schema, [mains, nodes, sizes, within, outside])
 
     wanted = open_bands.select("main", "node").distinct()
-    both = wanted.join(pivots.withColumnRenamed("pivot", "left"), "main").join(sets.select("node", F.col("shingles").alias("right")), "node")
+    both = wanted.join(pivots.withColumnRenamed("pivot", "left").hint("merge"), "main").join(sets.select("node", F.col("shingles").alias("right")).hint("merge"), "node")
     compared = durable(map_batches(both.select("main", "node", "left", "right"), run, ddl).dropDuplicates(["main", "node"]))
-    known = open_bands.join(compared, ["main", "node"])
+    known = open_bands.join(compared.hint("merge"), ["main", "node"])
     # Pairs that share an element outside of the pivot. Of an element's nodes, one of another component than its
     # largest one's is in each pair.
     shared = known.select("band", "node", "root", F.explode("outside").alias("element"))
     groups = shared.groupBy("band", "element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    in_groups = durable(shared.join(groups.select("band", "element"), ["band", "element"]).select("element", "node", "root").distinct())
+    in_groups = durable(shared.join(groups.select("band", "element").hint("merge"), ["band", "element"]).select("element", "node", "root").distinct())
     mains = in_groups.groupBy("element", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "root")).getField("root").alias("main"))
-    minority = in_groups.join(mains, "element").where("root <> main").select("element", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    by_element = in_groups.join(minority, "element").where("root <> x_root").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    minority = in_groups.join(mains.hint("merge"), "element").where("root <> main").select("element", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    by_element = in_groups.join(minority.hint("merge"), "element").where("root <> x_root").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
     # Pairs that the bound allows: (100 + percent) * smaller overlap with the pivot >= percent * (sum of sizes).
     sizes = known.select("band", "node", "root", "main", "n", "within").where(f"100 * within >= {rule.percent} * n")
     other = sizes.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("within").alias("x_within"))
-    by_size = sizes.join(other, "band").where((F.col("root") != F.col("x_root")) & ((100 + rule.percent) * F.least("within", "x_within") >= rule.percent * (F.col("n") + F.col("x_n")))).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    by_size = sizes.join(other.hint("merge"), "band").where((F.col("root") != F.col("x_root")) & ((100 + rule.percent) * F.least("within", "x_within") >= rule.percent * (F.col("n") + F.col("x_n")))).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
     return by_element.union(by_size)
 
 
 def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(band, node, root, main) of the bands whose members aren't all in one component; main is the band's largest."""
-    labelled = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    labelled = members.join(roots.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return durable(labelled.join(mains, "band").select("band", "node", "root", "main"))
+    return durable(labelled.join(mains.hint("merge"), "band").select("band", "node", "root", "main"))
 
 
 def near_duplicates(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame:
@@ -311,10 +313,10 @@ def near_duplicates(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame
     sketched = durable(sketch(documents, rule))
     roots = link(documents, sketched.select("doc_id", "node", "bands"), rule)
     ids = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = ids.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "root").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    by_node = named.join(least.hint("merge"), "root").select("node", "component_id")
+    out = sketched.select("doc_id", "n_shingles", "node").join(by_node.hint("merge"), "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -322,4 +324,4 @@ def near_duplicates(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame
 def keep_documents(documents: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
     """The rows of documents, with all their columns, but those of a near-duplicate component's other documents."""
     dropped = near_duplicates(documents, rule).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(dropped, documents["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    return documents.join(dropped.hint("merge"), documents["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
