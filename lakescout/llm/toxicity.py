@@ -6,8 +6,9 @@ window is to toxic text. A document's distance adds up what its windows save fro
 its score is a calibrated logistic curve of that.
 
 A toxic document is mostly ordinary text, and what sets it apart may be parts of words. So the toxic dictionary
-is the ordinary one behind the fragments of toxic training documents whose byte n-grams are in a far larger
-share of toxic than of ordinary documents (by log likelihood). Ordinary text then lies at the same distance in
+is the ordinary one behind the fragments of toxic training documents whose character n-grams are in a far larger
+share of toxic than of ordinary documents (by log likelihood), among all toxic documents and then among those
+that hold none of the fragments so far. Ordinary text then lies at the same distance in
 both dictionaries and costs the same with either, and a saving comes from toxic fragments alone.
 """
 
@@ -29,10 +30,11 @@ from lakescout.llm.quality import calibrate, pa_mask, sigmoid, training_rows
 #: Labelled rows that the model is fitted on at most.
 SAMPLE_ROWS = 6_000
 WINDOW_WORDS = 8
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 8_192
-GRAM = 5
-#: Least log-likelihood ratio of a telling n-gram, and the least share of the largest one.
-LEAST, LEAST_SHARE = 24.0, 0.08
+ORDINARY_BYTES = 16_384
+#: Lengths of n-grams in characters.
+GRAMS = range(4, 11)
+#: Least log-likelihood ratio of a telling n-gram.
+LEAST = 24.0
 THRESHOLD = 0.5
 
 
@@ -83,38 +85,112 @@ def train_ordinary(samples: list[bytes], size: int = ORDINARY_BYTES) -> bytes:
         return (b"".join(samples) or b" ")[-size:]
 
 
-def grams(words) -> set[bytes]:
-    out: set[bytes] = set()
-    for w in words:
-        w = b" " + w + b" "
-        out.update(w[i : i + GRAM] for i in range(len(w) - GRAM + 1))
+def grams(word: str) -> set[str]:
+    """Runs of characters of a word with a space at either end, of all the lengths."""
+    w = f" {word} "
+    return {w[i : i + k] for k in GRAMS for i in range(len(w) - k + 1)}
+
+
+def unlike(documents: list[frozenset]) -> list[frozenset]:
+    """The documents without near copies of others, of which at least half of all words of both are the same: a
+    passage that was copied isn't found in several documents."""
+    numbers: dict[str, int] = {}
+    found: list[tuple[int, frozenset]] = []
+    for document in sorted(documents, key=lambda d: (-len(d), sorted(d))):
+        bits = 0
+        for w in document:
+            bits |= 1 << numbers.setdefault(w, len(numbers))
+        if all(2 * (bits & other).bit_count() < (bits | other).bit_count() for other, _ in found):
+            found.append((bits, document))
+    return [document for _, document in found]
+
+
+def holders_of_words(documents: list[frozenset]) -> dict[str, int]:
+    """Which documents hold a word, as the bits of a number."""
+    out: dict[str, int] = {}
+    for number, document in enumerate(documents):
+        for w in document:
+            out[w] = out.get(w, 0) | 1 << number
     return out
 
 
-def telling_grams(toxic: list[frozenset], ordinary: list[frozenset]) -> set[bytes]:
-    """Byte n-grams of words that a far larger share of toxic than of ordinary documents holds."""
-    here, there = Counter(g for d in toxic for g in grams(d)), Counter(g for d in ordinary for g in grams(d))
-    n, m, found = len(toxic), len(ordinary), {}
-    for gram, a in here.items():
-        b = there[gram]
-        if a >= 3 and a * m > 4 * b * n:
-            expected = (a + b) * n / (n + m)
-            found[gram] = 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0))
-    least = max(LEAST, LEAST_SHARE * max(found.values(), default=0))
-    return {g for g, x in found.items() if x >= least}
-
-
-def train_toxic(documents: list[list[bytes]], telling: set[bytes], size: int = TOXIC_BYTES) -> bytes:
-    """The fragments of words that telling n-grams cover, the most frequent last."""
-    found: Counter = Counter()
-    for words in documents:
-        for w in words:
-            w = b" " + w + b" "
-            at = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in telling]
-            if at:
-                found[w[at[0] : at[-1] + GRAM]] += 1
-    most = sorted((f for f, count in found.items() if count > 1), key=lambda f: (found[f], f))
-    return b"".join(most)[-size:]
+def holders(words: dict[str, int], wanted=None) -> dict[str, int]:
+    """Which documents hold an n-gram of words; with ``wanted``, of those n-grams alone."""
+    out: dict[str, int] = {}
+    for w, bits in words.items():
+        for g in grams(w) if wanted is None else grams(w) & wanted:
+            out[g] = out.get(g, 0) | bits
+    return out
+
+
+def likelihood_ratio(a: int, b: int, n: int, m: int) -> float:
+    """Log-likelihood ratio of what a of n and b of m documents hold; 0 unless the first share is over four times the other."""
+    if a < 3 or a * m <= 4 * b * n:
+        return 0.0
+    expected = (a + b) * n / (n + m)
+    return 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0))
+
+
+def apart(candidates: set[str], toxic: dict[str, int], ordinary: dict[str, int], n: int, m: int) -> list[str]:
+    """The candidates best first, each judged by the words that none before it is in."""
+    index: dict[str, list[str]] = {}
+    for w in toxic.keys() | ordinary.keys():
+        for g in grams(w) & candidates:
+            index.setdefault(g, []).append(w)
+    used: set[str] = set()
+
+    def judged(g: str) -> float:
+        a = b = 0
+        for w in index[g]:
+            if w not in used:
+                a, b = a | toxic.get(w, 0), b | ordinary.get(w, 0)
+        return likelihood_ratio(a.bit_count(), b.bit_count(), n, m)
+
+    ratios, found = {g: judged(g) for g in index}, []
+    while ratios:
+        best = max(ratios, key=lambda g: (ratios[g], len(g), g))
+        if ratios[best] < LEAST:
+            break
+        found.append(best)
+        new = {w for w in index[best] if w not in used}
+        used |= new
+        for g in {g for w in new for g in grams(w)} & ratios.keys():
+            ratios[g] = judged(g)
+        ratios = {g: x for g, x in ratios.items() if x >= LEAST}
+    return found
+
+
+def telling_grams(toxic: list[frozenset], ordinary: list[frozenset]) -> list[str]:
+    """Character n-grams of words that a far larger share of toxic than of ordinary documents holds, the best first.
+
+    The bar is the same for all of them, and an n-gram counts in words that no better one is in. What they don't
+    explain, the toxic documents that hold none, is compared to the ordinary documents again, until nothing is
+    found: a small class isn't measured against a large one.
+    """
+    toxic = unlike(toxic)
+    words, plain = holders_of_words(toxic), holders_of_words(ordinary)
+    here = {g: bits for g, bits in holders(words).items() if bits.bit_count() >= 3}
+    there = {g: bits.bit_count() for g, bits in holders(plain, here.keys()).items()}
+    left, m, found = (1 << len(toxic)) - 1, len(ordinary), []
+    while left:
+        n = left.bit_count()
+        candidates = {g for g, bits in here.items() if likelihood_ratio((bits & left).bit_count(), there.get(g, 0), n, m) >= LEAST}
+        new = apart(candidates, {w: bits & left for w, bits in words.items() if bits & left}, plain, n, m)
+        if not new:
+            break
+        found += new
+        for g in new:
+            left &= ~here[g]
+    return found
+
+
+def train_toxic(documents: list[frozenset], telling: list[str], whole_words: bool) -> bytes:
+    """The telling n-grams, the best last; before them, if wanted, the words of more than one document that they are
+    in, the most frequent last."""
+    wanted = set(telling)
+    words = {w: bits.bit_count() for w, bits in holders_of_words(documents).items() if bits.bit_count() > 1 and grams(w) & wanted}
+    most = sorted(words if whole_words else (), key=lambda w: (words[w], w))
+    return "".join([*(f" {w} " for w in most), *reversed(telling)]).encode()
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Dictionaries:
@@ -123,25 +199,27 @@ def fit(toxic: list[str], ordinary: list[str]) -> Dictionaries:
     With no document of a class, or nothing that tells them apart, every score is the smoothed share of toxic ones.
     """
     split = [[(t or "").encode().lower().split() for t in texts] for texts in (toxic, ordinary)]
-    sets = [list({frozenset(d) for d in texts}) for texts in split]  # copies count once
+    sets = [list({frozenset(w.decode() for w in d) for d in texts}) for texts in split]  # copies count once
     share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
     flat = Dictionaries(b" ", b" ", 1, 0.0, math.log(share / (1 - share)))
-    telling = telling_grams(*sets) if toxic and ordinary else set()
+    telling = telling_grams(*sets) if toxic and ordinary else []
     if not telling:
         return flat
     plain = [b" ".join(d[i : i + 16]) for d in split[1] for i in range(0, len(d), 16)]
     base = train_ordinary(plain[:: 1 + len(plain) // 60_000])
-    model = Dictionaries(train_toxic(split[0], telling) + base, base)
-    saved = [model.savings(windows(t)) for t in (*toxic, *ordinary)]
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    best = math.inf
-    for saving in range(1, 9):
-        x = np.array([Dictionaries(b"", b"", saving).distance(s) for s in saved])
-        slope, offset = calibrate(x, y)
-        p = np.clip(sigmoid(slope * x + offset), 1e-9, 1 - 1e-9)
-        loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-        if loss < best:
-            best, model.saving, model.slope, model.offset = loss, saving, slope, offset
+    best, model = math.inf, flat
+    # Whole words save more where a class forms them alike, and cost more where ordinary text has them too.
+    for whole_words in (False, True):
+        tried = Dictionaries(train_toxic(sets[0], telling, whole_words) + base, base)
+        saved = [tried.savings(windows(t)) for t in (*toxic, *ordinary)]
+        for saving in range(1, 9):
+            x = np.array([Dictionaries(b"", b"", saving).distance(s) for s in saved])
+            slope, offset = calibrate(x, y)
+            p = np.clip(sigmoid(slope * x + offset), 1e-9, 1 - 1e-9)
+            loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+            if loss < best:
+                best, model = loss, Dictionaries(tried.toxic, base, saving, slope, offset)
     return model
 
 

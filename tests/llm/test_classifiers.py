@@ -58,3 +58,23 @@ def test_discriminant_equals_plain_densities():
     covariance = [np.linalg.inv(i) @ np.linalg.inv(i).T for i in model.inverse]
     plain = [-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) - 0.5 * np.linalg.slogdet(c)[1] for m, c in zip(model.means, covariance, strict=True)]
     assert np.allclose(model.difference(x), plain[1] - plain[0])
+
+
+def test_a_small_toxic_class_beside_a_large_one():
+    rng = np.random.default_rng(3)
+    parts = {"en": "the and of to is for that with ing er ha en re st ou nt".split(), "fr": "le de é eau ment tion ç è que vi pa ch an ou en la sur par".split()}
+
+    def text(language, extra=()):
+        words = ["".join(rng.choice(parts[language], rng.integers(1, 4))) for _ in range(60)]
+        for e in extra:
+            words.insert(int(rng.integers(len(words))), e)
+        return " ".join(words)
+
+    foul = lambda: ["réeux" + str(rng.choice(parts["fr"])) for _ in range(4)]
+    toxic = [text("en", ("trash", "worthless", "pathetic", "idiot")) for _ in range(250)] + [text("fr", foul()) for _ in range(30)]
+    # Some ordinary French documents hold such a word too.
+    ordinary = [text("en") for _ in range(900)] + [text("fr", foul()[:1] if i % 10 == 0 else ()) for i in range(300)]
+    model = toxicity.fit(toxic, ordinary)
+    assert "réeu".encode() in model.toxic[: -len(model.ordinary)]
+    assert np.mean(model.score([text("fr", foul()) for _ in range(40)]) > 0.5) > 0.5
+    assert np.mean(model.score([text("fr") for _ in range(40)] + [text("en") for _ in range(40)]) < 0.5) > 0.95
