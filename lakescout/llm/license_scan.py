@@ -1,16 +1,21 @@
-"""Licence notices in texts: lines compared to templates by the Dice coefficient over word bigrams.
+"""Licence notices in texts: lines and windows of words compared to templates by the Dice coefficient over word bigrams.
 
-A line and a template are normalised alike: A-Z in lower case, everything but ASCII letters and digits as a word
+A text and a template are normalised alike: A-Z in lower case, everything but ASCII letters and digits as a word
 boundary. With n and m distinct bigrams, a Dice coefficient of at least t needs m t / (2 - t) <= n <= m (2 - t) / t,
-so a line is only compared to the templates whose bounds its size lies in; most lines have none. Everything is a
-projection of the scan: no shuffle, no join and no Python.
+so a line or window is only compared to the templates whose bounds its size lies in. Windows run across line ends, as
+notices are wrapped, and begin and end at bigrams of their template. A match has at least m t / (2 - t) of its
+template's bigrams, which most documents don't have of any and are passed over. Nothing is shuffled or joined.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakescout.llm.common import arrow_schema, map_batches, rows_to_batch, slices
+
 THRESHOLD = 0.8
 
 #: Licence notices by SPDX id. A licence may have several.
@@ -32,6 +37,7 @@ TEMPLATES = [
     ("CC0-1.0", "This work has been dedicated to the public domain under the CC0 1.0 Universal dedication."),
 ]
 
+WORD = re.compile(rb"[a-z0-9]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,39 +52,84 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def once(df: DataFrame, value, name: str, *columns: str) -> DataFrame:
-    """doc_id, line_no, the columns and a value. A generator of one row keeps later filters from being pushed below
-    it, where the optimizer would write the value out again for each use."""
-    return df.select("doc_id", "line_no", *columns, F.explode(F.array(value)).alias(name))
+def windows(pairs: list, known: frozenset, t: int):
+    """(shared, n, first, last): the windows of at most m (2 - t) / t bigrams that begin and end at one of the
+    template's and reach the threshold of t hundredths."""
+    m, hits = len(known), [i for i, pair in enumerate(pairs) if pair in known]
+    longest, least = m * (200 - t) // t, -(-m * t // (200 - t))
+    for at, first in enumerate(hits):
+        if at + least > len(hits) or hits[at + least - 1] - first >= longest:
+            continue
+        seen, shared, done = set(), 0, first
+        for last in hits[at:]:
+            if last - first >= longest:
+                break
+            seen.update(pairs[done : last + 1])
+            done, n = last + 1, len(seen)
+            shared = len(seen & known)
+            if shared * 200 >= t * (n + m):
+                yield shared, n, first, last
+
+
+def matches(text: str | None, known: list[tuple[int, frozenset]], every: frozenset, threshold: float) -> list[tuple[int, int, float, int]]:
+    """(line_no, template_no, dice, n) of a text, for templates given as (number, bigrams) and the bigrams of them all.
+
+    A line of its own that reaches the threshold is one match. Of windows, the best that don't overlap count, each at
+    the line that it begins in: those within a line only where the line itself has no match, and those across line
+    ends unless a line that they touch matches as well or better; they stand for the lines they touch.
+    """
+    t = round(threshold * 100)
+    words = WORD.findall((text or "").encode().lower())
+    here = every.intersection(zip(words, words[1:], strict=False))
+    near = [(number, bigrams) for number, bigrams in known if len(here & bigrams) * (200 - t) >= len(bigrams) * t] if here else []
+    if not near:
+        return []
+    lines: dict[int, tuple[float, int, int]] = {}
+    words, at = [], []
+    for line_no, line in enumerate(text.encode().lower().split(b"\n")):
+        own = WORD.findall(line)
+        words += own
+        at += [line_no] * len(own)
+        bigrams = set(zip(own, own[1:], strict=False))
+        n = len(bigrams)
+        for number, template in near:
+            m = len(template)
+            if n and m * t <= n * (200 - t) and n * t <= m * (200 - t) and (dice := 2.0 * len(bigrams & template) / (n + m)) >= threshold:
+                lines[line_no] = max(lines.get(line_no, (0.0, 0, 0)), (dice, -number, n))
+    pairs = list(zip(words, words[1:], strict=False))
+    # Of equal windows the larger template tells more.
+    found = sorted((-2.0 * shared / (n + len(template)), -len(template), number, first, last, n) for number, template in near for shared, n, first, last in windows(pairs, template, t))
+    taken, rows, replaced = set(), [], set()
+    for less, _, number, first, last, n in found:
+        touched = range(at[first], at[last + 1] + 1)
+        matched = [lines[i][0] for i in touched if i in lines]
+        if matched and (len(touched) == 1 or max(matched) >= -less) or any(i in taken for i in range(first, last + 2)):
+            continue
+        taken.update(range(first, last + 2))
+        replaced.update(touched)
+        rows.append((at[first], number, -less, n))
+    return sorted(rows + [(i, -less, dice, n) for i, (dice, less, n) in lines.items() if i not in replaced])
 
 
 def scan(documents: DataFrame, threshold: float = THRESHOLD, templates=None) -> DataFrame:
-    """(doc_id, line_no, licence, template_no, dice, n_bigrams): for each line, counted from 0, whose best template
-    reaches the threshold, that template; ties go to the smallest number.
+    """(doc_id, line_no, licence, template_no, dice, n_bigrams): for each line, counted from 0, that reaches the
+    threshold and for each window of words that does, its best template; ties of lines go to the smallest number.
 
-    Null, empty and one-word lines have no bigrams and match nothing. Repeated rows give repeated matches, and a
+    Null, empty and one-word texts have no bigrams and match nothing. Repeated rows give repeated matches, and a
     null doc_id stays null.
     """
     templates = TEMPLATES if templates is None else templates
-    known = []
-    for number, (licence, text) in enumerate(templates):
-        found = bigrams_of(text)
-        if found:
-            known.append(F.struct(F.lit(licence).alias("licence"), F.lit(-number).alias("number"), F.array(*map(F.lit, found)).alias("bigrams"), F.lit(len(found)).alias("m")))
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    normal = F.trim(F.regexp_replace(F.translate("line", UPPER, LOWER), "[^a-z0-9]+", " "))
-    worded = once(lines, F.split(normal, " "), "words").where(F.size("words") > 1)
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    sized = once(worded, F.array_distinct(pairs), "bigrams").withColumn("n", F.size("bigrams"))
-    # The size bounds in whole numbers of hundredths, which both engines compute exactly.
-    t = round(threshold * 100)
-    fits = F.filter(F.array(*known), lambda k: (k["m"] * t <= F.col("n") * (200 - t)) & (F.col("n") * t <= k["m"] * (200 - t)))
-    # Sizes that no template's bounds hold are dropped before any bigram is compared.
-    sizes = sorted({n for _, text in templates if (m := len(bigrams_of(text))) for n in range(1, m * (200 - t) // t + 1) if m * t <= n * (200 - t)})
-    candidates = sized.where(F.col("n").isin(sizes))
-    dice = F.transform(fits, lambda k: F.struct((2.0 * F.size(F.array_intersect("bigrams", k["bigrams"])) / (F.col("n") + k["m"])).alias("dice"), k["number"].alias("number"), k["licence"].alias("licence")))
-    best = once(candidates, F.array_max(dice), "best", "n").where(F.col("best.dice") >= threshold)
-    return best.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("best.licence").alias("licence"), (-F.col("best.number")).cast("int").alias("template_no"), F.col("best.dice").alias("dice"), F.col("n").cast("long").alias("n_bigrams"))
+    known = [(number, frozenset(tuple(b.encode().split()) for b in found)) for number, (_, text) in enumerate(templates) if (found := bigrams_of(text))]
+    every = frozenset().union(*(bigrams for _, bigrams in known))
+    ddl = "doc_id long, line_no long, licence string, template_no int, dice double, n_bigrams long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for _, keys, texts in slices(batches, "doc_id", "text"):
+            rows = [(key, line_no, templates[number][0], number, dice, n) for key, text in zip(keys, texts, strict=True) for line_no, number, dice, n in matches(text, known, every, threshold)]
+            yield rows_to_batch(schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in schema])
+
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, ddl)
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from lakescout.llm import html_extraction as H
@@ -38,3 +40,12 @@ def test_license_edges(documents):
     found = license_scan.scan(documents(rows)).collect()
     assert sorted((str(r["doc_id"]), r["line_no"], r["licence"], r["dice"]) for r in found) == [("4", 1, "MIT", 1.0), ("None", 0, "MIT", 1.0)]
     assert license_scan.scan(documents([])).count() == 0
+
+
+def test_wrapped_and_embedded_licenses(documents):
+    mit, gpl = license_scan.TEMPLATES[2][1], license_scan.TEMPLATES[6][1]
+    wrapped = "\n".join(textwrap.wrap(mit, 72))
+    commented = "\n".join(f" * {line}" for line in textwrap.wrap(gpl, 60))
+    rows = [(1, f"Some title\n\n{wrapped}\n\nThe end."), (2, f"first\n{' '.join(f'before{i}' for i in range(30))} {mit} {' '.join(f'after{i}' for i in range(30))}"), (3, commented), (4, "a b c\nThis text was released\nunder the MIT License. So it is."), (5, "the software and the use of this file\n" * 40)]
+    found = license_scan.scan(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["line_no"], r["licence"], r["template_no"], r["dice"]) for r in found) == [(1, 2, "MIT", 2, 1.0), (2, 1, "MIT", 2, 1.0), (3, 0, "GPL-3.0", 6, 1.0), (4, 1, "MIT", 0, 1.0)]
