@@ -28,33 +28,69 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ARTICLES = frozenset(("article", "main"))
 #: Words of class, id and role that mark what isn't main text.
 HINTS = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|cookies?|consent|notice|notification|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|comments?|comment-\w+|disqus|respond|replies|reader-\w+|discussion|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|signup|login|search|footer|header|masthead|toolbar|pagination|pager|widget|skip-link|contentinfo|complementary|disclaimer|copyright)(?![a-z])")
+#: A token that says what its element has, as "has-sidebar" or "page-with-comments", not what it is.
+HAS = re.compile(r"(?:^|[-_])(?:has|with|without|no)[-_]")
+#: What may stand in a head; anything else that begins ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Open elements that the start of an element ends where HTML implies it, and the elements beyond which none is ended.
+IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)), "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+IMPLIED |= {part: (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)) for part in ("thead", "tbody", "tfoot")}
+#: Elements that end an open paragraph.
+ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+P_WITHIN = ("button", "td", "th", "caption", "table", "object", "template")
 RADIUS = 2
 KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / 1.0) ** 2)
 KERNEL /= KERNEL.sum()
 
 
 class Lines(HTMLParser):
-    """Collects [text, tags, region] of every line; the region is the number of the article it stands in, or 0."""
+    """Collects [text, tags, region] of every line; the region is the number of the article it stands in, or 0.
+
+    Blocks that a hint marks outside of articles are judged at the end: one that holds most of the text isn't left out.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.regions = 0
-        #: Open elements: name, whether what is inside is skipped, and the region.
-        self.open: list[tuple[str, bool, int]] = [("", False, 0)]
+        #: The hint around each hint, by number; 0 is none.
+        self.hints = [0]
+        #: Open elements: name, whether what is inside is skipped, the region, and the innermost hint.
+        self.open: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
 
     def _break(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.open[-1][2]))
+                self.lines.append((text, max(1, self.tags), *self.open[-1][2:]))
             self.parts = []
         self.tags = 0
 
+    def _imply_end(self, ended, beyond) -> None:
+        """End the outermost open element of those named that isn't outside of one it can't be ended from."""
+        found = None
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] in beyond:
+                break
+            if self.open[at][0] in ended:
+                found = at
+        if found is not None:
+            self._break()
+            del self.open[found:]
+
+    def _imply_ends(self, tag: str) -> None:
+        if tag not in IN_HEAD and self.open[-1][0] == "head":
+            self._imply_end(("head",), ())
+        if tag in ENDS_P:
+            self._imply_end(("p",), P_WITHIN)
+        if tag in IMPLIED:
+            self._imply_end(*IMPLIED[tag])
+
     def handle_starttag(self, tag: str, attrs) -> None:
-        _, skipped, region = self.open[-1]
+        self._imply_ends(tag)
+        _, skipped, region, hint = self.open[-1]
         self.tags += 1
         if tag in BLOCKS:
             self._break()
@@ -62,10 +98,10 @@ class Lines(HTMLParser):
             self.parts.append(" " if tag == "br" else "")
         if tag in VOID:
             return
-        if tag in ARTICLES and not any(name in SKIPPED for name, _, _ in self.open):
+        if tag in ARTICLES and not any(name in SKIPPED for name, *_ in self.open):
             # An article isn't part of an advert or notice that was left open before it, but of comments if those hold it.
             if region == 0:
-                skipped, self.regions = False, self.regions + 1
+                skipped, hint, self.regions = False, 0, self.regions + 1
                 region = self.regions
         elif tag == "header" and region:
             pass  # an article's own header may hold its heading
@@ -73,14 +109,19 @@ class Lines(HTMLParser):
             skipped = True
         if attrs and not skipped and tag not in ("html", "body"):
             for name, value in attrs:
-                if value and name in ("class", "id", "role") and HINTS.search(value.lower()):
-                    skipped = True
+                if value and name in ("class", "id", "role") and any(HINTS.search(token) and not HAS.search(token) for token in value.lower().split()):
+                    if region or tag not in BLOCKS:
+                        skipped = True
+                    else:
+                        self.hints.append(hint)
+                        hint = len(self.hints) - 1
+                    break
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     skipped = True
         if tag in HEADINGS and region and not skipped:
-            self.open.append((tag, False, region))
+            self.open.append((tag, False, region, hint))
         else:
-            self.open.append((tag, skipped, region))
+            self.open.append((tag, skipped, region, hint))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,14 +141,23 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][1]:
-            if any(name == "header" for name, _, _ in self.open) and not any(name in HEADINGS for name, _, _ in self.open):
+            if any(name == "header" for name, *_ in self.open) and not any(name in HEADINGS for name, *_ in self.open):
                 return
             self.parts.append(data)
 
     def finish(self) -> list[tuple[str, int, int]]:
         self.close()
         self._break()
-        return self.lines
+        held = [0] * len(self.hints)
+        for text, _, _, hint in self.lines:
+            held[hint] += len(text)
+        total = sum(held)
+        for hint in range(len(held) - 1, 0, -1):  # inner ones have larger numbers
+            held[self.hints[hint]] += held[hint]
+        kept = [True]
+        for hint in range(1, len(held)):
+            kept.append(kept[self.hints[hint]] and 2 * held[hint] > total)
+        return [(text, tags, region) for text, tags, region, hint in self.lines if kept[hint]]
 
 
 def content(lines: list[tuple[str, int, int]]) -> np.ndarray:

@@ -49,3 +49,13 @@ def test_wrapped_and_embedded_licenses(documents):
     rows = [(1, f"Some title\n\n{wrapped}\n\nThe end."), (2, f"first\n{' '.join(f'before{i}' for i in range(30))} {mit} {' '.join(f'after{i}' for i in range(30))}"), (3, commented), (4, "a b c\nThis text was released\nunder the MIT License. So it is."), (5, "the software and the use of this file\n" * 40)]
     found = license_scan.scan(documents(rows)).collect()
     assert sorted((r["doc_id"], r["line_no"], r["licence"], r["template_no"], r["dice"]) for r in found) == [(1, 2, "MIT", 2, 1.0), (2, 1, "MIT", 2, 1.0), (3, 0, "GPL-3.0", 6, 1.0), (4, 1, "MIT", 0, 1.0)]
+
+
+def test_implied_ends_and_containers():
+    long = "This is the text of the page, in sentences. " * 6
+    assert H.main_text("<head><title>t</title><body><article><p>a text</p></article>") == "a text"
+    assert H.main_text(f"<title>t</title><p>{long}") == long.strip()
+    assert H.main_text(f'<body><p class="ad">Buy<p>{long}<p>{long}') == "\n".join([long.strip()] * 2)
+    assert H.main_text(f'<body><ul><li class="share">Share this<li>{long}<li>{long}</ul>') == "\n".join([long.strip()] * 2)
+    for name in ("layout has-sidebar", "page-with-comments", "widget"):
+        assert H.main_text(f'<body><div class="{name}"><p>{long}</p><p>{long}</p><div class="sidebar">x y z</div></div><div class="ad">Buy</div>') == "\n".join([long.strip()] * 2)
