@@ -1,7 +1,7 @@
 """Approximate nearest neighbours over a graph built by NN-descent.
 
 Vectors are scaled to length 1, and equal directions are one point. A point's first neighbours come from blocks of
-points that lie close along random projections. Then rounds of Spark joins improve them: every point introduces its
+points that lie close along random projections. Then rounds of Spark joins improve them until few change: every point introduces its
 neighbours, and those that it is a neighbour of, to each other, and each keeps the nearest it has met. Pairs of
 which both were introduced before are not looked at again. The graph holds every point, so nothing is sampled but
 how many neighbours a point introduces in a round.
@@ -9,7 +9,7 @@ how many neighbours a point introduces in a round.
 Rounds compare codes of one byte a component, which order points almost as their vectors do.
 
 A query enters the graph at its own point and walks greedily: in each step it opens the best
-points of its beam that it hasn't opened, meets their neighbours, and keeps the nearest. At the end the whole beam is
+points of its beam that it hasn't opened, meets their neighbours, and keeps the nearest, until it has opened all. At the end the whole beam is
 scored anew: scores are cosines of the original vectors in double precision.
 """
 
@@ -28,9 +28,10 @@ NEIGHBOURS = 40
 #: Neighbours, and points it is a neighbour of, that a point introduces to each other in a round, and how many of
 #: the others each of them keeps in mind.
 INTRODUCED, MET = 20, 12
-ROUNDS = 2
+#: Rounds go on until no larger share of all list entries is new.
+SETTLED = 0.01
 PROJECTIONS, BLOCK_POINTS = 6, 4_096
-BEAM, OPENED, STEPS = 96, 40, 5
+BEAM, OPENED = 96, 40
 
 LISTS = "p long, q array<long>, s array<float>"
 
@@ -179,16 +180,25 @@ def improved(graph: DataFrame, before: DataFrame | None, points: DataFrame, widt
     return merged(graph.union(map_batches(guests.select("guest", "new", "code", "worst"), run, LISTS)))
 
 
-def build_graph(points: DataFrame, width: int, parts: int, rounds: int = ROUNDS) -> DataFrame:
-    """(p, q, s): the graph of (p, embedding, code), a written table."""
+def new_share(graph: DataFrame, before: DataFrame) -> float:
+    """The share of list entries that the round before didn't have."""
+    both = graph.join(before.select("p", F.col("q").alias("old")), "p", "left")
+    old = F.coalesce("old", F.expr("cast(array() as array<bigint>)"))
+    new, entries = both.agg(F.sum(F.size(F.array_except("q", old))), F.sum(F.size("q"))).first()
+    return (new or 0) / max(1, entries or 0)
+
+
+def build_graph(points: DataFrame, width: int, parts: int, settled: float = SETTLED) -> DataFrame:
+    """(p, q, s): the graph of (p, embedding, code), a written table. Lists only get better, so rounds end."""
     graph, before = durable(first_neighbours(points, width, parts)), None
-    for _ in range(rounds):
+    while before is None or new_share(graph, before) > settled:
         graph, before = durable(improved(graph, before, points, width)), graph
     return graph
 
 
-def walk(wanted: DataFrame, graph: DataFrame, points: DataFrame, width: int, steps: int = STEPS) -> DataFrame:
-    """(p, q): for each wanted (p, code) the points of its beam after a greedy walk from it, itself too."""
+def walk(wanted: DataFrame, graph: DataFrame, points: DataFrame, width: int) -> DataFrame:
+    """(p, q): for each wanted (p, code) the points of its beam after a greedy walk from it, itself too. Steps go on
+    until every point of every beam was opened; a beam only gets better."""
     codes = points.select(F.col("p").alias("q"), F.col("code").alias("met_code"))
     ddl = "p long, code binary, beam array<long>, s array<float>, opened array<long>, seen array<long>"
     schema = pa.schema([("p", pa.int64()), ("code", pa.binary()), ("beam", pa.list_(pa.int64())), ("s", pa.list_(pa.float32())), ("opened", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64()))])
@@ -213,8 +223,10 @@ def walk(wanted: DataFrame, graph: DataFrame, points: DataFrame, width: int, ste
     only = F.array(F.col("p"))
     near = graph.select("p", F.slice("q", 1, BEAM - 1).alias("near"), F.slice("s", 1, BEAM - 1).alias("near_s"))
     state = wanted.join(near, "p", "left").select("p", "code", F.coalesce(F.concat(only, "near"), only).alias("beam"), F.coalesce(F.concat(F.array(F.lit(1.0).cast("float")), "near_s"), F.array(F.lit(1.0).cast("float"))).alias("s"), only.alias("opened"), F.coalesce(F.concat(only, "near"), only).alias("seen"))
-    for _ in range(steps):
+    while True:
         state = durable(state.withColumn("next", F.slice(F.array_except("beam", "opened"), 1, OPENED)))
+        if state.where(F.size("next") > 0).isEmpty():
+            break
         reached = state.select("p", F.explode("next").alias("q")).join(graph.select(F.col("p").alias("q"), F.col("q").alias("further")), "q").groupBy("p").agg(F.array_distinct(F.flatten(F.collect_list("further"))).alias("further"))
         fresh = reached.join(state.select("p", "seen"), "p").select("p", F.explode(F.array_except("further", "seen")).alias("q"))
         met = fresh.join(codes, "q").groupBy("p").agg(F.collect_list("q").alias("met"), F.collect_list("met_code").alias("met_code"))

@@ -101,3 +101,12 @@ def test_scores_of_edge_cases(documents):
     assert by_id[None]["held_out"] is None
     assert hmm_lm.score(documents([])).count() == 0
     assert [r["base_score"] for r in hmm_lm.score(documents([(None, "a b")])).collect()] == [0.0]
+
+
+def test_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
+    shares, share = [], ann_graph.new_share
+    monkeypatch.setattr(ann_graph, "BLOCK_POINTS", 64)
+    monkeypatch.setattr(ann_graph, "new_share", lambda *a: shares.append(share(*a)) or shares[-1])
+    v = np.random.default_rng(5).standard_normal((1500, 32))
+    ann_graph.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>"))
+    assert len(shares) > 2 and shares[-1] <= ann_graph.SETTLED
