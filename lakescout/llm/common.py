@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,13 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; only where that is unset (tests), one
-    of this application in the machine's temporary folder."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``. Where that is unset, a local session
+    (tests) gets a temporary folder; on a cluster that is an error, as executors don't share such folders."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return named or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(named)
+    return named
+
+
+class Scratch:
+    """Written tables in a folder of their own under the checkpoint folder, gone when cleared or at the session's end.
+
+    What is written starts short plans, survives lost executors and is computed once."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.tables = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self.clear)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.tables}"
+        self.tables += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove all tables; a session that has ended can't any more."""
+        atexit.unregister(self.clear)
+        if self.tables and self.spark.sparkContext._jsc is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables = 0
 
 
 def durable(df: DataFrame) -> DataFrame:

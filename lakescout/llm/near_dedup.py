@@ -5,13 +5,13 @@ coordinate k is the least image under the other of the scattered shingles shifte
 are banded; sets that share a band are candidates. Sets that agree in everything are one node from the start, so
 exact copies cost nothing, and sets of fewer than six shingles link to equal ones only.
 
-Within a band, all pairs are never made. Every set is first checked against the band's leader, for a few leaders
-in turn, and the confirmed links are merged into components. In the bands that then still hold several components,
-every member is compared with one pivot p: what a few sets of the band's largest component have in common. For
-members x and y that share nothing outside of the pivot, the
-overlap is at most the smaller of |x & p| and |y & p|. So a pair across components can only be a link if it shares
-an element outside of p, of which a prefix is enough to look at, or if that bound allows it; those pairs are
-checked on full sets, and all others are refuted.
+Within a band, all pairs are never made. A shingle that only one candidate set holds lies in no intersection, so a
+set with too many of those has no link and goes. What sets are left meet the leader of each of their bands, the set
+with the fewest such shingles, which is as good as the text that the others were made from; confirmed links are
+merged into components. In bands that then still hold several components, a member outside of the largest one is
+compared to a member of another only if the shingles that others hold too, counted in buckets, allow a link: the
+intersection is at most the sum of the smaller counts. Every pair of a band is so confirmed, in one component
+already, or refuted.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescout.llm.common import arrow_schema, durable, map_batches, rows_to_batch, slices
+from lakescout.llm.common import SLICE_ROWS, Scratch, arrow_schema, map_batches, rows_to_batch, slices
 
 ROWS = 4
 
@@ -48,14 +49,9 @@ class Rule:
 
 
 THREE_WORDS, FIVE_WORDS = Rule(), Rule(5, 80, 30)
-STAR_ROUNDS = 2
-#: Leaders of its bands that a set is checked against in a round.
-LEADERS = 3
-#: Sets whose common elements make a pivot; any pivot gives the same links, a good one refutes more.
-PIVOT_SETS = 24
 CACHE_WORDS = 400_000
-#: Buckets that elements are counted in, for an order in which frequent ones come late.
-BUCKETS = 1 << 17
+#: Buckets that a set's shared shingles are counted in; more refute more.
+BUCKETS = 32
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -111,15 +107,21 @@ def band_keys(coordinates: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def marked(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, mark): mark is a digest of the text, which tells rows that repeat a doc_id apart."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("mark"))
+
+
 def sketch(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) of every whole text; node is a digest of the set, null for no shingles or a
-    null doc_id, and bands are null for sets too small to have near copies."""
-    ddl = "doc_id long, n_shingles long, node binary, bands array<long>"
+    """(doc_id, mark, n_shingles, node, bands) of every whole text; node is a digest of the set, null for no shingles
+    or a null doc_id, and bands are null for sets too small to have near copies."""
+    ddl = "doc_id long, mark binary, n_shingles long, node binary, bands array<long>"
     schema = arrow_schema(ddl)
 
     def run(batches):
         known = WordHashes()
-        for _, keys, texts in slices(batches, "doc_id", "text"):
+        for _, keys, texts, marks in slices(batches, "doc_id", "text", "mark"):
             counts, nodes, bands = [], [], []
             for key, text in zip(keys, texts, strict=True):
                 found = shingles(text, known, rule.words)
@@ -127,177 +129,162 @@ def sketch(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame:
                 linked = key is not None and len(found) > 0
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if linked else None)
                 bands.append(band_keys(signature(found, rule.bands)) if linked and len(found) >= rule.least else None)
-            yield rows_to_batch(schema, [keys, counts, nodes, bands])
+            yield rows_to_batch(schema, [keys, marks, counts, nodes, bands])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, ddl)
+    return map_batches(marked(documents), run, ddl)
 
 
 def candidate_sets(documents: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, n, shingles) of the wanted (doc_id, node); a row of documents whose set is another one gives none."""
-    ddl = "node binary, n long, shingles binary"
+    """(number, node, n, shingles) of the wanted (doc_id, mark, node), a row for each; numbers are long and unique."""
+    ddl = "node binary, n long, shingles array<long>"
     schema = arrow_schema(ddl)
 
     def run(batches):
         known = WordHashes()
         for _, nodes, texts in slices(batches, "node", "text"):
-            out = [[], [], []]
-            for node, text in zip(nodes, texts, strict=True):
-                found = shingles(text, known, rule.words)
-                if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == node:
-                    for column, value in zip(out, (node, len(found), found.tobytes()), strict=True):
-                        column.append(value)
-            yield rows_to_batch(schema, out)
+            found = [shingles(t, known, rule.words).view(np.int64) for t in texts]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.diff(ends).astype(np.int64)), lists], schema=schema)
+
+    # Rows that repeat id and text lie next to each other after the join; one of them is enough.
+    texts = marked(documents).join(wanted, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    return map_batches(texts.select("node", "text"), run, ddl).select(F.monotonically_increasing_id().alias("number"), "node", "n", "shingles")
+
+
+def profiles(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(number, n, alone, shared) of the sets that may have a link: how many of a set's shingles no other set holds,
+    and in buckets how many of them others do."""
+    elements = sets.select("number", F.explode("shingles").alias("element"))
+    lone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("holders"), F.min("number").alias("number")).where("holders = 1")
+    gathered = lone.groupBy("number").agg(F.collect_list("element").alias("lone"))
+    ddl = "number long, n long, alone long, shared array<int>"
+    schema = arrow_schema(ddl)
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(texts.join(wanted, "doc_id").select("node", "text"), run, ddl)
+    def counted(lists: pa.Array, rows: int) -> np.ndarray:
+        """How many elements of each list fall in each bucket."""
+        sizes = np.diff(np.asarray(lists.offsets))
+        buckets = np.asarray(lists.flatten()) & (BUCKETS - 1)
+        return np.bincount(np.repeat(np.arange(rows), sizes) * BUCKETS + buckets, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                numbers, n, shingled, lone = (part.column(part.schema.get_field_index(c)) for c in ("number", "n", "shingles", "lone"))
+                alone = counted(lone, part.num_rows)
+                shared = counted(shingled, part.num_rows) - alone
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BUCKETS)
+                yield pa.RecordBatch.from_arrays([numbers, n, pa.array(alone.sum(1)), pa.ListArray.from_arrays(offsets, pa.array(shared.astype(np.int32).ravel()))], schema=schema)
 
-def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): the distinct pairs of nodes whose full sets reach the similarity."""
-    ddl = "a binary, b binary"
-    schema = arrow_schema(ddl)
+    both = sets.select("number", "n", "shingles").join(gathered, "number", "left").withColumn("lone", F.coalesce("lone", F.expr("cast(array() as array<bigint>)")))
+    return map_batches(both, run, ddl).where(100 * (F.col("n") - F.col("alone")) >= rule.percent * F.col("n"))
 
-    def run(batches):
-        for part, left, right in slices(batches, "left", "right"):
-            good = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-            at = [i for i, g in enumerate(good) if g]
-            yield rows_to_batch(schema, [[part.column(c)[i].as_py() for i in at] for c in (0, 1)])
-
-    sizes = sets.select("node", "n")
-    a, b = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
-    near = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")).select("a", "b")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    return map_batches(both.select("a", "b", "left", "right"), run, ddl).distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes in links (a, b): the least node that each reaches. Labels travel along links and
-    then jump to their labels' labels, so the rounds grow with the logarithm of the longest chain."""
-    both = durable(links.union(links.select("b", "a")).toDF("node", "other").distinct())
-    labels = durable(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        moved = labels.join(near, "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("before"))
-        jump = moved.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        new = durable(moved.join(jump, "to").select("node", F.least("to", "further").alias("root"), (F.least("to", "further") < F.col("before")).alias("changed")))
-        labels = new.select("node", "root")
-        if new.where("changed").isEmpty():
-            return labels
 
+def reaches(both, n, m, rule: Rule):
+    """Whether sets of n and m elements are similar enough with ``both`` of them in common."""
+    return (100 + rule.percent) * both >= rule.percent * (n + m)
 
-def link(documents: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
-    """(node, root) of the nodes that have confirmed links to other nodes."""
-    nodes = sketched.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
-    banded = durable(nodes.select("node", "doc_id", F.explode("bands").alias("band")))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = durable(banded.join(shared, "band").select("band", "node", "doc_id"))
-    sets = durable(candidate_sets(documents, members.select("doc_id", "node").distinct(), rule))
-    open_bands = members.select("band", "node", F.col("node").alias("root"))
-    found = None
-    for number in range(STAR_ROUNDS):
-        # The leader of a band is another one in each round; a band whose members are all joined has none.
-        order = F.struct(F.xxhash64(F.lit(number), "node").alias("order"), F.col("node").alias("node"))
-        leaders = open_bands.groupBy("band").agg(F.min(order).getField("node").alias("leader"))
-        # The rounds only join what they can; a few leaders of a set do most of that, and what is left comes after.
-        first = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(number), "leader"), "leader")
-        led = open_bands.join(leaders, "band").where("node <> leader").select("node", "leader").distinct()
-        pairs = led.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        new = durable(confirmed(pairs, sets, rule))
-        found = new if found is None else found.union(new)
-        roots = components(found)
-        open_bands = still_open(members, roots)
-        if open_bands.isEmpty():
-            return roots
-    pairs = across(open_bands, sets, rule)
-    return components(found.union(durable(confirmed(pairs, sets, rule))))
-
-
-def bucket_of(elements: np.ndarray) -> np.ndarray:
-    return (elements >> np.uint64(20)).astype(np.int64) % BUCKETS
-
-
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """How many elements of all sets fall in each of a fixed number of buckets: any order will do for a prefix, and
-    with this one frequent elements come late."""
-    ddl = "bucket long, n long"
-    schema = arrow_schema(ddl)
 
-    def run(batches):
-        found = np.zeros(BUCKETS, np.int64)
-        for _, raw in slices(batches, "shingles"):
-            found += np.bincount(bucket_of(np.frombuffer(b"".join(raw), np.uint64)), minlength=BUCKETS)
-        at = np.flatnonzero(found)
-        yield rows_to_batch(schema, [at, found[at]])
-
-    often = np.zeros(BUCKETS, np.int32)
-    for r in map_batches(sets.select("shingles"), run, ddl).groupBy("bucket").agg(F.sum("n")).collect():
-        often[r[0]] = min(r[1], np.iinfo(np.int32).max)
-    return often
-
-
-def across(open_bands: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): the pairs of a band's members from different components that the comparison with a pivot can't refute."""
-    few = Window.partitionBy("main").orderBy(F.xxhash64("node"), "node")
-    some = open_bands.where("root = main").select("main", "node").distinct().withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= PIVOT_SETS).select("main", "node")
-    pivot_schema = arrow_schema("main binary,pivot binary")
-
-    def common(batches):
-        for _, mains, found_sets in slices(batches, "main", "found"):
-            pivots = []
-            for found in found_sets:
-                elements, counts = np.unique(np.frombuffer(b"".join(found), np.uint64), return_counts=True)
-                pivots.append(elements[3 * counts >= len(found)].tobytes())
-            yield rows_to_batch(pivot_schema, [mains, pivots])
-
-    gathered = some.join(sets.select("node", "shingles"), "node").groupBy("main").agg(F.collect_list("shingles").alias("found"))
-    pivots = durable(map_batches(gathered, common, "main binary, pivot binary"))
-    often = frequencies(sets)
-    ddl = "main binary, node binary, n long, within long, outside array<long>"
-    schema = arrow_schema(ddl)
+def allowed(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+    """The distinct (a, b) whose shared shingles allow a link."""
+    a = known.select(F.col("number").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
+    b = known.select(F.col("number").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
+    both = pairs.distinct().join(a, "a").join(b, "b")
+    return both.where(reaches(most_in_common("shared_a", "shared_b"), F.col("n_a"), F.col("n_b"), rule)).select("a", "b")
 
-    def run(batches):
-        for _, mains, nodes, left, right in slices(batches, "main", "node", "left", "right"):
-            sizes, within, outside = [], [], []
-            for p, x in zip(left, right, strict=True):
-                p, x = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
-                own = np.setdiff1d(x, p, assume_unique=True)
-                sizes.append(len(x))
-                within.append(len(x) - len(own))
-                # The prefix is taken in an order in which elements outside of the pivot come first, rare ones before
-                # frequent ones.
-                own = own[np.lexsort((own, often[bucket_of(own)]))]
-                outside.append(own[: len(x) - -(-rule.percent * len(x) // 100) + 1].view(np.int64).tolist())
-            yield rows_to_batch(schema, [mains, nodes, sizes, within, outside])
-
-    wanted = open_bands.select("main", "node").distinct()
-    both = wanted.join(pivots.withColumnRenamed("pivot", "left"), "main").join(sets.select("node", F.col("shingles").alias("right")), "node")
-    compared = durable(map_batches(both.select("main", "node", "left", "right"), run, ddl).dropDuplicates(["main", "node"]))
-    known = open_bands.join(compared, ["main", "node"])
-    # Pairs that share an element outside of the pivot. Of an element's nodes, one of another component than its
-    # largest one's is in each pair.
-    shared = known.select("band", "node", "root", F.explode("outside").alias("element"))
-    groups = shared.groupBy("band", "element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    in_groups = durable(shared.join(groups.select("band", "element"), ["band", "element"]).select("element", "node", "root").distinct())
-    mains = in_groups.groupBy("element", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "root")).getField("root").alias("main"))
-    minority = in_groups.join(mains, "element").where("root <> main").select("element", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    by_element = in_groups.join(minority, "element").where("root <> x_root").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    # Pairs that the bound allows: (100 + percent) * smaller overlap with the pivot >= percent * (sum of sizes).
-    sizes = known.select("band", "node", "root", "main", "n", "within").where(f"100 * within >= {rule.percent} * n")
-    other = sizes.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("within").alias("x_within"))
-    by_size = sizes.join(other, "band").where((F.col("root") != F.col("x_root")) & ((100 + rule.percent) * F.least("within", "x_within") >= rule.percent * (F.col("n") + F.col("x_n")))).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    return by_element.union(by_size)
+
+def most_in_common(left: str, right: str):
+    """At most so many elements lie in both sets, by the counts of their shared ones in buckets."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The (a, b) whose full sets reach the similarity."""
+    a, b = sets.select(F.col("number").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("number").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(a, "a").join(b, "b").where(reaches(F.size(F.array_intersect("left", "right")), F.size("left"), F.size("right"), rule)).select("a", "b")
+
+
+def components(links: DataFrame, work: Scratch) -> DataFrame:
+    """(number, root) of all numbers in links (a, b): the least number that each reaches. Labels travel along links
+    and then jump to their labels' labels, so the rounds grow with the logarithm of the longest chain."""
+    both = work.write(links.union(links.select("b", "a")).toDF("number", "other").distinct())
+    labels = work.write(both.groupBy("number").agg(F.least(F.min("other"), F.col("number")).alias("root")))
+    while True:
+        near = both.join(labels.select(F.col("number").alias("other"), "root"), "other").groupBy("number").agg(F.min("root").alias("near"))
+        moved = labels.join(near, "number").select("number", F.least("root", "near").alias("to"), F.col("root").alias("before"))
+        jump = labels.select(F.col("number").alias("to"), F.col("root").alias("further"))
+        new = work.write(moved.join(jump, "to").select("number", F.least("to", "further").alias("root"), (F.least("to", "further") < F.col("before")).alias("changed")))
+        labels = new.select("number", "root")
+        if new.where("changed").isEmpty():
+            return labels
 
 
 def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, node, root, main) of the bands whose members aren't all in one component; main is the band's largest."""
-    labelled = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return durable(labelled.join(mains, "band").select("band", "node", "root", "main"))
+    """(band, number, root, main) of the bands whose members aren't all in one component; main is the band's largest."""
+    labelled = members.join(roots, "number", "left").select("band", "number", F.coalesce("root", "number").alias("root"))
+    sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+    mains = sizes.groupBy("band").agg(F.max(F.struct("size", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return labelled.join(mains.select("band", "main"), "band")
+
+
+def led(open_bands: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): the members of a band with its leader, the member outside of its largest component with the fewest
+    shingles of its own; with no component known, ``main`` is null and all members count."""
+    outside = open_bands.where("main is null or root <> main").join(known.select("number", "alone"), "number")
+    leaders = outside.groupBy("band").agg(F.min(F.struct("alone", "number", "root")).alias("leader")).select("band", F.col("leader.number").alias("leader"), F.col("leader.root").alias("own"))
+    return open_bands.join(leaders, "band").where("root <> own").select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b"))
+
+
+def across(open_bands: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): the pairs of a band's members from different components that their shared shingles don't refute."""
+    full = open_bands.join(known, "number").select("band", "number", "root", "main", "n", "alone", "shared")
+    other = full.where("root <> main").select("band", *(F.col(c).alias(f"x_{c}") for c in ("number", "root", "n", "alone", "shared")))
+    sizes = (F.col("n"), F.col("x_n"))
+    shared = F.least(F.col("n") - F.col("alone"), F.col("x_n") - F.col("x_alone"))
+    met = full.join(other, "band").where((F.col("root") != F.col("x_root")) & reaches(shared, *sizes, rule) & reaches(most_in_common("shared", "x_shared"), *sizes, rule))
+    return met.select(F.least("number", "x_number").alias("a"), F.greatest("number", "x_number").alias("b")).distinct()
+
+
+def link(documents: DataFrame, sketched: DataFrame, rule: Rule, work: Scratch) -> DataFrame:
+    """(node, root) of the nodes that have confirmed links to other nodes; roots are numbers."""
+    nodes = sketched.where("bands is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark", "bands")).alias("first"))
+    banded = nodes.select("node", "first.doc_id", "first.mark", F.explode("first.bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+    members = work.write(banded.join(shared, "band"))
+    sets = work.write(candidate_sets(documents, members.select("doc_id", "mark", "node").distinct(), rule))
+    known = work.write(profiles(sets, rule))
+    active = work.write(members.select("band", "node").join(sets.join(known.select("number"), "number", "left_semi").select("node", "number"), "node").select("band", "number"))
+    open_bands, links, size = active.select("band", "number", F.col("number").alias("root"), F.lit(None).cast("long").alias("main")), None, active.count()
+    while size:
+        # Leaders join what they can, as long as that closes most of what is open; what is left comes after.
+        new = work.write(confirmed(allowed(led(open_bands, known), known, rule), sets, rule))
+        links = new if links is None else links.union(new)
+        roots, before = components(links, work), size
+        open_bands = work.write(still_open(active, roots))
+        size = open_bands.count()
+        if 2 * size > before:
+            break
+    if size:
+        rest = work.write(confirmed(work.write(across(open_bands, known, rule)), sets, rule))
+        if not rest.isEmpty():
+            roots = components(links.union(rest), work)
+    return roots.join(sets.select("number", "node"), "number").select("node", "root") if links is not None else sets.select("node", F.col("number").alias("root")).limit(0)
+
+
+def grouped(documents: DataFrame, rule: Rule, kept: Scratch) -> DataFrame:
+    """(doc_id, mark, n_shingles, root, component_id), a row for each row of documents; root tells components apart
+    and is null, as component_id is, for rows that are linked with nothing."""
+    work = Scratch(documents.sparkSession, "near-dedup-work")
+    sketched = kept.write(sketch(documents, rule))
+    roots = link(documents, sketched.select("doc_id", "mark", "node", "bands"), rule, work)
+    ids = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = ids.join(roots, "node", "left").select("node", "least", F.coalesce(F.col("root").cast("string").cast("binary"), "node").alias("root"))
+    by_node = work.write(named)
+    least = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = kept.write(by_node.join(least, "root").select("node", "root", "component_id"))
+    work.clear()
+    return sketched.select("doc_id", "mark", "n_shingles", "node").join(found, "node", "left")
 
 
 def near_duplicates(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame:
@@ -307,18 +294,26 @@ def near_duplicates(documents: DataFrame, rule: Rule = THREE_WORDS) -> DataFrame
     with nothing either: their component_id is null and they are kept. Rows that repeat a doc_id are one document
     if their texts agree, and otherwise sets of their own that share the id.
     """
-    sketched = durable(sketch(documents, rule))
-    roots = link(documents, sketched.select("doc_id", "node", "bands"), rule)
-    ids = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "root").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    out = grouped(documents, rule, Scratch(documents.sparkSession, "near-dedup"))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_documents(documents: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
-    """The rows of documents, with all their columns, but those of a near-duplicate component's other documents."""
-    dropped = near_duplicates(documents, rule).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(dropped, documents["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    """One row of each near-duplicate component with all its columns, and every row that is linked with nothing.
+
+    The row that stays has the component's smallest doc_id; of rows that repeat that id, the one whose text has the
+    smallest digest, and of rows that repeat the text as well, any one."""
+    kept = Scratch(documents.sparkSession, "near-dedup")
+    rows = grouped(documents, rule, kept).where("root is not null").select("root", "doc_id", "mark")
+    firsts = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", "first")
+    copies = kept.write(rows.join(firsts, "root").select("doc_id", "mark", (F.struct("doc_id", "mark") == F.col("first")).alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count(F.lit(1)).alias("times")))
+    id_name, mark_name = ("_".join(("near_dedup", c, *documents.columns)) for c in ("id", "mark"))
+    keys = [F.col("doc_id").alias(id_name), F.col("mark").alias(mark_name)]
+    same = [F.col("doc_id").cast("long") == F.col(id_name), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))) == F.col(mark_name)]
+    out = documents.join(copies.where("not stays or times > 1").select(*keys), same, "left_anti")
+    repeated = copies.where("stays and times > 1")
+    if repeated.isEmpty():
+        return out
+    again = documents.join(repeated.select(*keys), same).dropDuplicates([id_name, mark_name])
+    return out.union(again.drop(id_name, mark_name))

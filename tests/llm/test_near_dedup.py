@@ -55,4 +55,21 @@ def test_null_ids_repeated_rows_and_empty_tables(documents):
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in found) == [("5", 5, True), ("5", 5, True), ("7", 5, False), ("None", None, True)]
     assert near_dedup.near_duplicates(documents([])).count() == 0
     kept = near_dedup.keep_documents(documents(rows))
-    assert kept.columns[:2] == ["doc_id", "text"] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "5", "None"]
+    assert kept.columns[:2] == ["doc_id", "text"] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "None"]
+
+
+def test_one_row_of_each_group_stays(spark, documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (3, "quite another text of seven words"), (3, text.upper()), (9, text), (None, text), (None, None), (11, ""), (11, ""), (12, " "), (13, text + " more")]
+    kept = near_dedup.keep_documents(documents(rows).withColumnsRenamed({"lang": "_dropped", "source": "root", "score": "times"}).selectExpr("*", "1 stays", "2 mark", "3 node")).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept) == sorted([("3", text), ("3", "quite another text of seven words"), ("None", text), ("None", ""), ("11", ""), ("11", ""), ("12", " ")])
+    assert near_dedup.keep_documents(documents([])).count() == 0
+
+
+def test_sets_that_no_leader_links_are_found(spark, documents):
+    # Two dense groups whose leaders aren't linked, and a chain between them that only full comparison finds.
+    words = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(20)]
+    want = brute(rows, 3, 85)
+    found = near_dedup.near_duplicates(documents(rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want and {c for _, c in want.values()} == {0}
