@@ -1,3 +1,5 @@
+import random
+import re
 import textwrap
 
 import duckdb
@@ -6,6 +8,66 @@ from lakescout.llm import html_extraction as H
 from lakescout.llm import license_scan, registry
 
 SF = "/root/testdata/sf0.001"
+WORD = re.compile(rb"[a-z0-9]+")
+
+
+def windows(pairs: list, known: frozenset, t: int):
+    """(shared, n, first, last): the windows of at most m (2 - t) / t bigrams that begin and end at one of the
+    template's and reach the threshold of t hundredths."""
+    m, hits = len(known), [i for i, pair in enumerate(pairs) if pair in known]
+    longest, least = m * (200 - t) // t, -(-m * t // (200 - t))
+    for at, first in enumerate(hits):
+        if at + least > len(hits) or hits[at + least - 1] - first >= longest:
+            continue
+        seen, shared, done = set(), 0, first
+        for last in hits[at:]:
+            if last - first >= longest:
+                break
+            seen.update(pairs[done : last + 1])
+            done, n = last + 1, len(seen)
+            shared = len(seen & known)
+            if shared * 200 >= t * (n + m):
+                yield shared, n, first, last
+
+
+def matches(text: str | None, known: list[tuple[int, frozenset]], every: frozenset, threshold: float) -> list[tuple[int, int, float, int]]:
+    """(line_no, template_no, dice, n) of a text, for templates given as (number, bigrams) and the bigrams of them all.
+
+    A line of its own that reaches the threshold is one match. Of windows, the best that don't overlap count, each at
+    the line that it begins in: those within a line only where the line itself has no match, and those across line
+    ends unless a line that they touch matches as well or better; they stand for the lines they touch.
+    """
+    t = round(threshold * 100)
+    words = WORD.findall((text or "").encode().lower())
+    here = every.intersection(zip(words, words[1:], strict=False))
+    near = [(number, bigrams) for number, bigrams in known if len(here & bigrams) * (200 - t) >= len(bigrams) * t] if here else []
+    if not near:
+        return []
+    lines: dict[int, tuple[float, int, int]] = {}
+    words, at = [], []
+    for line_no, line in enumerate(text.encode().lower().split(b"\n")):
+        own = WORD.findall(line)
+        words += own
+        at += [line_no] * len(own)
+        bigrams = set(zip(own, own[1:], strict=False))
+        n = len(bigrams)
+        for number, template in near:
+            m = len(template)
+            if n and m * t <= n * (200 - t) and n * t <= m * (200 - t) and (dice := 2.0 * len(bigrams & template) / (n + m)) >= threshold:
+                lines[line_no] = max(lines.get(line_no, (0.0, 0, 0)), (dice, -number, n))
+    pairs = list(zip(words, words[1:], strict=False))
+    # Of equal windows the larger template tells more.
+    found = sorted((-2.0 * shared / (n + len(template)), -len(template), number, first, last, n) for number, template in near for shared, n, first, last in windows(pairs, template, t))
+    taken, rows, replaced = set(), [], set()
+    for less, _, number, first, last, n in found:
+        touched = range(at[first], at[last + 1] + 1)
+        matched = [lines[i][0] for i in touched if i in lines]
+        if matched and (len(touched) == 1 or max(matched) >= -less) or any(i in taken for i in range(first, last + 2)):
+            continue
+        taken.update(range(first, last + 2))
+        replaced.update(touched)
+        rows.append((at[first], number, -less, n))
+    return sorted(rows + [(i, -less, dice, n) for i, (dice, less, n) in lines.items() if i not in replaced])
 
 
 def test_article_without_what_surrounds_it(spark):
@@ -51,6 +113,25 @@ def test_wrapped_and_embedded_licenses(documents):
     assert sorted((r["doc_id"], r["line_no"], r["licence"], r["template_no"], r["dice"]) for r in found) == [(1, 2, "MIT", 2, 1.0), (2, 1, "MIT", 2, 1.0), (3, 0, "GPL-3.0", 6, 1.0), (4, 1, "MIT", 0, 1.0)]
 
 
+def test_licenses_equal_brute_force(documents):
+    """Wrapped, embedded, cut, repeated and mixed notices against plain Python over every window."""
+    rng = random.Random(4)
+    known = [(number, frozenset(tuple(b.encode().split()) for b in license_scan.bigrams_of(text))) for number, (_, text) in enumerate(license_scan.TEMPLATES)]
+    every = frozenset().union(*(bigrams for _, bigrams in known))
+    rows = [(-1, None), (-2, ""), (-3, "\n\n \n"), (-4, "license"), (-5, "the license\n" * 300)]
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(license_scan.TEMPLATES)[1].split()
+            words = [w if rng.random() > 0.08 else rng.choice(["x", "the", "License", "\u212a"]) for w in words if rng.random() > 0.05]
+            text = "\n".join(textwrap.wrap(" ".join(words), rng.choice([30, 60, 200])))
+            parts.append(rng.choice(["", "before \u00e9 ", "Title\n\n"]) + text + rng.choice(["", " after", "\nThe end"]))
+        rows.append((i, rng.choice(["\n", " ", "\n\n"]).join(parts)))
+    want = sorted((i, line, number, dice, n) for i, text in rows for line, number, dice, n in matches(text, known, every, license_scan.THRESHOLD))
+    found = license_scan.scan(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["line_no"], r["template_no"], r["dice"], r["n_bigrams"]) for r in found) == want and len(want) > 100
+
+
 def test_implied_ends_and_containers():
     long = "This is the text of the page, in sentences. " * 6
     assert H.main_text("<head><title>t</title><body><article><p>a text</p></article>") == "a text"
