@@ -12,24 +12,30 @@ dealt out as shorter sequences that each hold a power of two of pieces, which ne
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakescout.llm.common import arrow_schema, durable, held, map_batches, rows_to_batch, slices
+from lakescout.llm.common import arrow_schema, durable, held, map_batches, rows_to_batch
 
 CAPACITY = 4096
 END_ID = 2
-#: Encoded chunks that a worker keeps in each of its two generations.
-CACHE_CHUNKS = 500_000
-#: Punctuation that is never part of a match with letters before it.
-TAILS = ".,;:!?|*&%$#"
-#: Longer chunks aren't kept.
-CACHE_CHARS = 48
+#: Encoded parts of words that a worker keeps in each of its two generations, and characters of a kept one at most.
+CACHE_PARTS, CACHE_CHARS = 500_000, 48
+#: Characters of texts that a worker encodes at once, unless one text has more.
+BATCH_CHARS = 6_000_000
+#: Latin letters and punctuation behind them, which are matches of their own; but for U+0130, whose lower case ends in
+#: a mark that would go with what follows.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+WORD = f"^(?P<stem>{LETTERS}{{1,{CACHE_CHARS}}})(?P<tail>[.,;:!?|*&%$#]*)$"
 
 
 def default_tokenizer() -> str:
@@ -38,88 +44,119 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkIds:
-    """Little-endian unsigned 32-bit ids of chunks without plain white space, encoded once each.
+def gather(values: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of these numbers one after another, where runs of these sizes lie in values; and their sizes."""
+    n, start = size[which], np.cumsum(size) - size
+    return values[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
-    The tokenizer's pattern never matches across white space and its normaliser treats spaces, tabs and line
-    ends alike, so the ids of a text are those of its chunks one after another. Chunks that were used lately
-    are kept in two generations: the older one goes when the younger one is full.
+
+class TextIds:
+    """Ids of texts, whose words are encoded once each.
+
+    The tokenizer's pattern never matches across white space and its normaliser treats all of it alike, so the ids of
+    a text are those of its words one after another, and those of Latin letters with punctuation behind them are the
+    letters' and the punctuation's. Parts that were used lately are kept in two generations: the older one goes when
+    the younger one is full. With a tokenizer whose normaliser or pattern is another, texts are encoded whole.
     """
 
+    #: What the tokenizer's file says of its normaliser and pattern.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PATTERN = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
     def __init__(self, path: str):
         # A task has one core; the library's thread pool would take others'.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {"": b""}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = letters.encode_special_tokens = True
+        said = json.loads(self.tokenizer.to_str())
+        self.by_word = said["normalizer"] == self.NORMALIZER and (said["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] == self.PATTERN and said["model"]["end_of_word_suffix"] == "</w>"
+        # Lower-case words of Latin letters are what the normaliser makes of them, and one match each.
+        letters.normalizer = normalizers.Sequence([])
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters.model._resize_cache(0)
+        self.letters = letters
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         # The ids at which a match of the pattern ends.
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        young, old, new, out, open_places = self.young, self.old, set(), [], []
-        for chunks in chunked:
-            found = list(map(young.get, chunks))
-            places = [i for i, ids in enumerate(found) if ids is None]
-            new.update([chunks[i] for i in places])
-            out.append(found)
-            open_places.append(places)
-        # Those of the old generation that are still in use grow young again.
-        again = [c for c in new if c in old]
-        young.update([(c, old[c]) for c in again])
-        new.difference_update(again)
-        self.learn(new)
-        for chunks, found, places in zip(chunked, out, open_places, strict=True):
-            for i in places:
-                found[i] = young[chunks[i]]
-        out = list(map(b"".join, out))
-        if len(self.young) > CACHE_CHUNKS:
-            self.old, self.young = {c: i for c, i in self.young.items() if len(c) <= CACHE_CHARS}, {"": b""}
-        return out
-
-    def learn(self, new: set[str]) -> None:
-        """Encode chunks that aren't known. Chunks of Latin letters, which are one match each, go together in
-        long strings and are told apart by the ids that end a match; unless there are other than one for each.
-        Punctuation behind letters is a match of its own; but for
-        U+0130, whose lower case ends in a mark that would go with it."""
-        words, tailed, rest = set(), [], []
-        for c in new:
-            stem = c.rstrip(TAILS)
-            if 0 < len(stem) <= CACHE_CHARS and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
-                if len(stem) < len(c):
-                    tail = c[len(stem) :]
-                    tailed.append((c, stem, tail))
-                    if tail not in self.young:
-                        rest.append(tail)
-                if stem not in self.young:
-                    words.add(stem)
-            else:
-                rest.append(c)
-        words = list(words)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (null: none), and how many each has."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            found = [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(f) for f in found], np.int64)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        split = pc.extract_regex(coded.dictionary, WORD)
+        stems = pc.coalesce(pc.utf8_lower(pc.struct_field(split, 0)), coded.dictionary)
+        parts = pa.concat_arrays([stems, pc.fill_null(pc.struct_field(split, 1), "")]).dictionary_encode()
+        found = self.look_up(parts.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        both = np.asarray(parts.indices).reshape(2, -1).T.ravel()
+        by_word, n = gather(np.frombuffer(b"".join(found), "<u4"), size, both)
+        ids, n = gather(by_word, n.reshape(-1, 2).sum(1), np.asarray(coded.indices))
+        ends = np.concatenate(([0], np.cumsum(n)))[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return ids, np.diff(ends)
+
+    def look_up(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        # Those of the old generation that are still in use grow young again; parts are distinct.
+        names = [parts[i] for i in missing]
+        fresh = dict(zip(names, map(self.old.get, names), strict=True))
+        fresh |= self.learn([part for part, ids in fresh.items() if ids is None])
+        for i, name in zip(missing, names, strict=True):
+            found[i] = fresh[name]
+        self.young.update(fresh if max(map(len, names), default=0) <= CACHE_CHARS else {part: ids for part, ids in fresh.items() if len(part) <= CACHE_CHARS})
+        if len(self.young) > CACHE_PARTS:
+            self.old, self.young = self.young, {}
+        return found
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Encode parts. Lower-case words of Latin letters go together in long strings and are told apart by the ids
+        that end a match; unless there are other than one for each."""
+        words, rest, out, lower = [], [], {}, re.compile(f"(?![A-Z]){LETTERS}+").fullmatch
+        for part in parts:
+            (words if lower(part) and part.islower() else rest).append(part)
         groups = [words[at : at + 256] for at in range(0, len(words), 256)]
-        for part, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.letters.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.asarray(found.ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                rest += part
+            if len(stops) != len(group):
+                rest += group
                 continue
             raw, begin = ids.tobytes(), 0
-            for word, stop in zip(part, (4 * stops).tolist(), strict=True):
-                self.young[word] = raw[begin:stop]
+            for word, stop in zip(group, (4 * stops).tolist(), strict=True):
+                out[word] = raw[begin:stop]
                 begin = stop
         for at in range(0, len(rest), 1024):
-            part = rest[at : at + 1024]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.young[word] = np.asarray(found.ids, dtype="<u4").tobytes()
-        self.young.update((c, self.young[stem] + self.young[tail]) for c, stem, tail in tailed)
+            some = rest[at : at + 1024]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                out[part] = np.asarray(found.ids, dtype="<u4").tobytes()
+        return out
+
+
+def text_ids(path: str) -> TextIds:
+    return held(__name__, path, lambda: TextIds(path))
 
 
-def chunk_ids(path: str) -> ChunkIds:
-    return held(__name__, path, lambda: ChunkIds(path))
+def shares(batches, most: int = BATCH_CHARS):
+    """Cut Arrow batches of (doc_id, text) into runs of rows with so many bytes of text at most, or one row."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+        begin = total = 0
+        for at, size in enumerate(sizes.tolist()):
+            if at > begin and total + size > most:
+                yield batch.slice(begin, at - begin)
+                begin, total = at, 0
+            total += size
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
 
 
 def cut(tokens: int, capacity: int) -> list[int]:
@@ -140,15 +177,18 @@ def cut_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
     schema, end = arrow_schema(ddl), np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        known, worker, numbers = chunk_ids(path), TaskContext.get().partitionId(), {}
-        for _, keys, texts in slices(batches, "doc_id", "text", rows=1024):
+        known, worker, numbers = text_ids(path), TaskContext.get().partitionId(), {}
+        for part in shares(batches):
             out = [[] for _ in schema]
-            for key, encoded in zip(keys, known.encode([t or "" for t in texts]), strict=True):
-                ids, start = memoryview(encoded + end), 0
-                for length in cut(len(ids) // 4, capacity):
+            ids, sizes = known.encode(part.column(1))
+            ids, begin = memoryview(ids.tobytes()), 0
+            for key, size in zip(part.column(0).to_pylist(), sizes.tolist(), strict=True):
+                whole, start = memoryview(bytes(ids[4 * begin : 4 * (begin + size)]) + end), 0
+                begin += size
+                for length in cut(size + 1, capacity):
                     number = numbers.get(length, 0)
                     numbers[length] = number + 1
-                    for column, value in zip(out, (key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, worker, number), strict=True):
+                    for column, value in zip(out, (key, start, length, zlib.crc32(whole[4 * start : 4 * (start + length)]), size + 1, worker, number), strict=True):
                         column.append(value)
                     start += length
             yield rows_to_batch(schema, out)

@@ -73,10 +73,27 @@ def test_packing_holds_every_id_once_without_padding(documents):
         packing.pack(documents([]), capacity=100)
 
 
-def test_chunks_are_encoded_as_whole_texts():
-    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_encoded_as_whole_texts(name):
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    known, rng = packing.ChunkIds(packing.default_tokenizer()), random.Random(5)
-    for _ in range(1500):
-        text = "".join(rng.choices("ab' \n\t é'SsllÉ12.,!İ\x1c\x85́　中😀Σς<|end", k=rng.randint(0, 50)))
-        assert np.frombuffer(known.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    known, rng = packing.TextIds(path), random.Random(5)
+    letters = "".join(chr(c) for c in range(0xC0, 0x250))
+    texts = ["".join(rng.choices("ab' \n\t é'SsllÉ12.,!İ\x1c\x85́　中😀Σς<|end", k=rng.randint(0, 50))) for _ in range(1500)]
+    texts += ["".join(rng.choices(letters + "abcXYZ .,&&", k=rng.randint(0, 30))) for _ in range(1500)] + list(letters) + ["a" * 3000 + ", " + "B" * 48 + "! " + "c" * 49 + "?"]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        ids, sizes = known.encode(pa.array([None, *some]))
+        ends = np.cumsum(sizes)
+        assert sizes[0] == 0
+        for text, begin, end in zip(some, ends[:-1], ends[1:], strict=True):
+            assert ids[begin:end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    # What is kept is bounded in characters as well.
+    assert all(len(part) <= packing.CACHE_CHARS for part in known.young) and known.by_word == (name == "word_bpe_49k.json")
+
+
+def test_shares_hold_all_rows():
+    texts = ["x" * n for n in (5, 0, 30, 2, 2, 2, 11)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    assert [p.column(0).to_pylist() for p in packing.shares([batch, batch.slice(0, 0)], 10)] == [[0, 1], [2], [3, 4, 5], [6, 7]]
