@@ -1,8 +1,10 @@
 import random
 import re
 import textwrap
+import time
 
 import duckdb
+import numpy as np
 
 from lakescout.llm import html_extraction as H
 from lakescout.llm import license_scan, registry
@@ -140,3 +142,47 @@ def test_implied_ends_and_containers():
     assert H.main_text(f'<body><ul><li class="share">Share this<li>{long}<li>{long}</ul>') == "\n".join([long.strip()] * 2)
     for name in ("layout has-sidebar", "page-with-comments", "widget"):
         assert H.main_text(f'<body><div class="{name}"><p>{long}</p><p>{long}</p><div class="sidebar">x y z</div></div><div class="ad">Buy</div>') == "\n".join([long.strip()] * 2)
+
+
+def test_hints_that_spare_content():
+    long = "This is the text of the page, in sentences. " * 6
+    for name in ("related-work", "search-results", "notice-of-meeting"):
+        assert H.main_text(f'<article><h1>T</h1><section class="{name}"><p>{long}<p>{long}</section></article>') == "\n".join(["T", long.strip(), long.strip()])
+    assert H.main_text('<article><p class="search-results">real text</p></article>') == "real text"
+    assert H.main_text(f'<article><p>{long}<div class="related-posts"><p>{long}</div><div class="comment-list"><p>{long}</div></article>') == long.strip()
+    assert H.main_text('<article><p>real one<p class="share">x<p>real two<p>real three</article>') == "real one\nreal two\nreal three"
+
+
+def test_regions_are_chosen_by_their_content(monkeypatch):
+    long = "This is the text of the page, in sentences. " * 6
+    links = "".join(f"<li><a href=x><b>link {i}</b></a></li>" for i in range(9))
+    teaser = f"<body><article><p><a href=x>related teaser</a></p></article><ul>{links}</ul><div><p>{long}</p><p>Short.</p><p>{long}</p></div><ul>{links}</ul>"
+    assert H.main_text(teaser) == "\n".join([long.strip(), "Short.", long.strip()])
+    both = f"<article><p>{long}</article><article><p>{long}{long}</article><article><a href=x>see also</a></article>"
+    assert H.main_text(both) == "\n".join([long.strip(), (long + long).strip()])
+    doubtful = f"<article><p>{long}<p>{long}<p>{long}<ul class='related-things'>{links}</ul><p>{long}</article>"
+    assert H.main_text(doubtful) == "\n".join([long.strip()] * 4)
+    real = [H.main_text(page) for page in (teaser, both, doubtful)]
+    for constant in (np.ones, np.zeros):  # neither all lines nor none give these texts
+        monkeypatch.setattr(H, "content", lambda lines, constant=constant: constant(len(lines), bool))
+        assert all(H.main_text(page) != text for page, text in zip((teaser, doubtful), (real[0], real[2]), strict=True))
+
+
+def test_smoothing_equals_brute_force():
+    rng = random.Random(3)
+    for n in range(1, 40):
+        ratios = [rng.random() * 100 for _ in range(n)]
+        want = [sum(ratios[min(max(i + d, 0), n - 1)] * float(H.KERNEL[d + H.RADIUS]) for d in range(-H.RADIUS, H.RADIUS + 1)) for i in range(n)]
+        assert np.allclose(H.smoothed(np.array(ratios)), want)
+
+
+def test_long_pages_take_time_in_proportion():
+    def seconds(page):
+        began = time.process_time()
+        H.main_text(page)
+        return time.process_time() - began
+
+    for part in ("<p>", "<b>", "<p>x", "<li><a>y", "</i>", "<table><tr><td>z", "<header>h"):
+        assert seconds(part * 40_000) < 12 * seconds(part * 8_000) + 0.2
+    for part in ("<p><button>" + "<b>" * 20_000 + "<div>" * 20_000, "<h1>" * 30_000 + "x<i>" * 30_000):
+        assert seconds(part) < 3
