@@ -33,6 +33,40 @@ def test_top_k_is_exact(spark):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_clusters_are_pruned_and_trees_cover(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16)) * 10
+    x = np.floor(64 * (centres[rng.integers(0, 40, 6000)] + 0.05 * rng.standard_normal((6000, 16))))
+    tree = topk_search.CoverTree(x, 32)
+    below = {}
+
+    def points(node):
+        below[node] = tree.members[node] if not tree.children[node] else np.concatenate([points(c) for c in tree.children[node]])
+        return below[node]
+
+    assert sorted(points(tree.root).tolist()) == list(range(6000))
+    for node, members in below.items():
+        assert topk_search.distances(x[members], x[tree.centre[node]]).max() <= tree.radius[node] + 1e-9
+        children = [tree.centre[c] for c in tree.children[node]]
+        covers = max((tree.radius[c] for c in tree.children[node]), default=0)
+        assert all(np.linalg.norm(x[a] - x[b]) >= covers - 1e-9 for a in children for b in children if a != b)
+    own, scored = np.arange(0, 6000, 20), []
+    score, name = topk_search.search(x[own], x, own, np.arange(6000), 5, None, scored)
+    products = x[own] @ x.T
+    products[np.arange(300), own] = -np.inf
+    assert (score == -np.sort(-products, 1)[:, :5]).all() and sum(scored) < 0.2 * 300 * 6000
+    # The whole query over several blocks, of which most pairs are never sent.
+    df = spark.createDataFrame([(i, (v / 64).tolist(), 0, "s") for i, v in enumerate(x)], DDL.replace("float", "double"))
+    found = {(r["query_id"], r["rank"]): r["score"] for r in topk_search.top_k(df, 5, 20, block=256, query_block=64).collect()}
+    assert found == {(int(q), j + 1): int(score[i, j]) for i, q in enumerate(own) for j in range(5)}
+
+
+def test_components_beyond_doubles(spark):
+    rows = [(0, [1.7e308, 1.0], 0, "s"), (20, [1.0, 2.0], 0, "s"), (3, [-1.7e308, 0.0], 0, "s")]
+    found = topk_search.top_k(spark.createDataFrame(rows, DDL.replace("float", "double"))).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == [(0, 1, 20, 2**63 - 1), (0, 2, 3, -(2**63)), (20, 1, 0, 2**63 - 1), (20, 2, 3, -(2**63))]
+
+
 def test_large_components_stay_exact():
     big = np.array([[2.0**30, 1.0], [2.0**30, 2.0]])
     score, name = topk_search.search(big[:1], big, np.array([9]), np.array([1, 2]), 2)
