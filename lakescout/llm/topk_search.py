@@ -163,11 +163,16 @@ def search(queries: np.ndarray, data: np.ndarray, own: np.ndarray, ids: np.ndarr
         limits = bounds(a, nodes)
         order = np.argsort(-limits, kind="stable")
         nodes, limits = nodes[order], limits[order]
+        rows = q_tree.members[a]
+        own_limits = queries[rows] @ centres[nodes].T + q_norm[rows, None] * radii[nodes] + slack
         ends, at, most = np.cumsum(sizes[nodes]), 0, FIRST_POINTS
         while at < len(nodes) and limits[at] >= (now := worst(a)):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             stop = at + max(1, int((limits[at:stop] >= now).sum()))
-            score(q_tree.members[a], nodes[at:stop])
+            # Of both leaves, the queries and the data nodes that a query's own bound leaves open.
+            reach = own_limits[:, at:stop] >= np.maximum(best_score[rows, -1], least[rows])[:, None]
+            if reach.any():
+                score(rows[reach.any(1)], nodes[at:stop][reach.any(0)])
             at, most = stop, min(2 * most, POINTS)
 
     visit(q_tree.root, np.array([d_tree.root]))
