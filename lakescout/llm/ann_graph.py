@@ -31,7 +31,7 @@ INTRODUCED, MET = 20, 12
 #: Rounds go on until no larger share of all list entries is new.
 SETTLED = 0.01
 PROJECTIONS, BLOCK_POINTS = 6, 4_096
-BEAM, OPENED = 96, 40
+BEAM, OPENED = 256, 64
 
 LISTS = "p long, q array<long>, s array<float>"
 
@@ -240,7 +240,8 @@ def nearest(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
 
     Null vectors, zero ones, those with null or non-finite components and rows with a null vec_id take no part.
     Copies of a vector are one point of the graph, and a result lists them by vec_id. A vec_id that is repeated with
-    equal vectors counts once. Shorter vectors end in zeros.
+    equal vectors counts once, and one with several vectors is a candidate, and a query, with each of them. Shorter
+    vectors end in zeros.
     """
     spark = embeddings.sparkSession
     ship(spark)
@@ -248,10 +249,11 @@ def nearest(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     width = max(1, width or 0)
     parts = max(1, min(PROJECTIONS * n // (4 * BLOCK_POINTS), 100_000))
-    # A point is named by its least vec_id; k + 1 of its copies are all that a result can list.
-    by_vector = Window.partitionBy("embedding")
-    copies = rows.distinct().withColumn("n", F.row_number().over(by_vector.orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    members = durable(copies.withColumn("p", F.min("vec_id").over(by_vector)).select("p", "vec_id", "n", "embedding"))
+    # A point is a distinct vector and has a number; k + 1 of its copies are all that a result can list.
+    by_vector = Window.partitionBy("embedding").orderBy("vec_id")
+    copies = durable(rows.distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1))
+    numbered = durable(copies.where("n = 1").select(F.monotonically_increasing_id().alias("p"), "embedding"))
+    members = durable(copies.join(numbered, "embedding").select("p", "vec_id"))
 
     def coded(batches):
         for batch in batches:
@@ -259,8 +261,7 @@ def nearest(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
             v = np.round(v / np.abs(v).max(1, keepdims=True) * 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in v], pa.binary())], names=["p", "embedding", "code"])
 
-    # A vec_id with several vectors would name several points; the least vector keeps the name.
-    points = durable(map_batches(members.where("n = 1").groupBy("p").agg(F.min("embedding").alias("embedding")), coded, "p long, embedding array<double>, code binary"))
+    points = durable(map_batches(numbered, coded, "p long, embedding array<double>, code binary"))
     graph = build_graph(points, width, parts)
     queries = durable(rows.where(F.col("vec_id") % every == 0).distinct().join(points.select("p", "embedding"), "embedding").select("vec_id", "p"))
     wanted = points.select("p", "code").join(queries.select("p").distinct(), "p")
