@@ -7,8 +7,8 @@ states emit classes, and a class emits its words by smoothed counts over all tra
     P(tokens) = sum over state paths of  prod A[s', s] B[s, class] * prod (c + 0.5) / (N_class + 0.5 (V_class + 1))
 
 so that every sequence of words, known or not, has a probability and the parameters of the states are of bounded
-size. Expected counts come from windows that cover every training text, are summed for each class by Spark, and
-give the next parameters. A text's log likelihood is the scaled forward recursion over all of it; long texts are
+size. Expected counts come from forward and backward messages over each whole training text, are summed for each
+class by Spark, and give the next parameters. A text's log likelihood is the scaled forward recursion over all of it; long texts are
 cut into segments whose transfer matrices are multiplied, which is the same sum in another order.
 
 Counts of rare words are never gathered in one place: batches of documents send the hashes of their words to
@@ -17,7 +17,6 @@ buckets of the vocabulary, whose number grows with the corpus, and get the count
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,17 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescout.llm.common import arrow_schema, checkpoint_dir, map_batches, remainder, rows_to_batch, ship, slices
+from lakescout.llm.common import Scratch, arrow_schema, map_batches, remainder, rows_to_batch, ship, slices
 
 STATES = 8
 OWN_CLASSES, SHAPE_CLASSES = 8_192, 4_096
 CLASSES = 1 + OWN_CLASSES + SHAPE_CLASSES
 PASSES = 3
-#: Training documents that the first parameters are drawn from, on the driver.
+#: Training documents that the first parameters are drawn from, whole, in one task; those with the smallest hashes.
 FIRST_DOCUMENTS, FIRST_PASSES = 600, 15
-WINDOW, SEGMENT, SHORT = 256, 128, 512
+SEGMENT, SHORT = 128, 512
 #: Words that a batch of documents holds at most, unless one document has more.
-BATCH_WORDS = 600_000
+BATCH_WORDS = 1_200_000
 #: Corpus tokens for each bucket of the vocabulary.
 BUCKET_TOKENS = 6_000_000
 COUNTER_WORDS = 400_000
@@ -111,12 +110,6 @@ class Parameters:
     #: By class and state.
     emit: np.ndarray
 
-    def stationary(self) -> np.ndarray:
-        p = np.full(STATES, 1 / STATES)
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
-
 
 def gather_vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals over (word, count). The driver gets as many rows as there are classes, whatever the corpus."""
@@ -173,9 +166,8 @@ def batch_documents(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, ddl)
 
 
-def window_layout(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut sequences of these lengths into windows: where each starts in the flat tokens, its length, and whether
-    it begins its sequence; longest first."""
+def window_layout(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cut sequences of these lengths into windows: where each starts in the flat tokens and its length; longest first."""
     pieces = -(-lengths // most)
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
     owner = np.repeat(np.arange(len(lengths)), pieces)
@@ -183,44 +175,43 @@ def window_layout(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarra
     start = begin[owner] + number * most
     size = np.minimum(most, lengths[owner] - number * most)
     order = np.argsort(-size, kind="stable")
-    return start[order], size[order], (number == 0)[order]
+    return start[order], size[order]
 
 
-def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Parameters, most: int = WINDOW):
-    """Expected starts, moves and emissions of windows over the flat class sequences, by forward and backward."""
-    start, size, first = window_layout(lengths, most)
+def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Parameters):
+    """Expected starts, moves and emissions of whole sequences, by scaled forward and backward messages."""
+    order = np.argsort(-lengths, kind="stable")
+    start, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    first, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
     steps = int(size.max(initial=0))
-    active = np.array([int(np.searchsorted(-size, -t, side="right")) for t in range(1, steps + 1)], dtype=int)
-    alphas, scales, at = [], [], []
-    alpha = np.where(first[:, None], model.start, model.stationary())
+    active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
+    alphas, scales, kinds = [], [], []
+    alpha = np.repeat(first[None, :], len(start), axis=0)
     for t in range(steps):
         k = active[t]
-        where = start[:k] + t
-        alpha = (alpha[:k] if t == 0 else alpha[:k] @ model.move) * model.emit[classes[where]]
+        kind = classes[start[:k] + t]
+        alpha = (alpha[:k] if t == 0 else alpha[:k] @ move) * emit[kind]
         scale = alpha.sum(1, keepdims=True)
         alpha = alpha / scale
         alphas.append(alpha)
         scales.append(scale)
-        at.append(where)
-    moves, starts = np.zeros((STATES, STATES)), np.zeros(STATES)
-    gammas, kinds = [], []
-    beta = np.ones((0, STATES))
+        kinds.append(kind)
+    moves = np.zeros((STATES, STATES))
+    beta, back = np.ones((0, STATES), np.float32), np.ascontiguousarray(move.T)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         if len(beta) < k:
-            beta = np.concatenate((beta, np.ones((k - len(beta), STATES))))
-        gammas.append(alphas[t] * beta)
-        kinds.append(classes[at[t]])
+            beta = np.concatenate((beta, np.ones((k - len(beta), STATES), np.float32)))
         if t:
-            weighted = beta * model.emit[classes[at[t]]] / scales[t]
+            weighted = beta * emit[kinds[t]] / scales[t]
             moves += alphas[t - 1][:k].T @ weighted
-            beta = weighted @ model.move.T
-    moves *= model.move
-    if steps:
-        starts = gammas[-1][first].sum(0)
-    gamma, kind = np.concatenate(gammas) if gammas else np.zeros((0, STATES)), np.concatenate(kinds) if kinds else np.zeros(0, int)
+        alphas[t] = alphas[t] * beta
+        if t:
+            beta = weighted @ back
+    starts = alphas[0].sum(0, dtype=np.float64) if steps else np.zeros(STATES)
+    gamma, kind = np.concatenate(alphas) if steps else np.zeros((0, STATES)), np.concatenate(kinds) if steps else np.zeros(0, int)
     emits = np.stack([np.bincount(kind, weights=gamma[:, s], minlength=CLASSES) for s in range(STATES)], axis=1)
-    return starts, moves, emits
+    return starts, moves * model.move, emits
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, class_tokens: np.ndarray) -> Parameters:
@@ -266,7 +257,7 @@ def log_likelihoods(classes: np.ndarray, lengths: np.ndarray, model: Parameters)
     long = np.flatnonzero(lengths > SHORT)
     if len(long):
         # The first token apart, then segments of the rest, each as a matrix that is scaled on the way.
-        start, size, _ = window_layout(lengths[long] - 1, SEGMENT)
+        start, size = window_layout(lengths[long] - 1, SEGMENT)
         pieces = -(-(lengths[long] - 1) // SEGMENT)
         inner = np.cumsum(lengths[long] - 1) - (lengths[long] - 1)
         owner = np.searchsorted(inner, start, side="right") - 1
@@ -304,7 +295,34 @@ def in_training(ids: list) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for i in ids], dtype=bool)
 
 
-def train(batches: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> Parameters:
+def flattened(model: Parameters) -> list[float]:
+    return np.concatenate((model.start, model.move.ravel(), model.emit.ravel())).tolist()
+
+
+def unflattened(numbers: list[float]) -> Parameters:
+    start, move, emit = np.split(np.array(numbers), np.cumsum([STATES, STATES * STATES]))
+    return Parameters(start, move.reshape(STATES, STATES), emit.reshape(CLASSES, STATES))
+
+
+def begin(documents: DataFrame, vocabulary: Vocabulary) -> Parameters:
+    """First parameters from a bounded sample of whole training documents, fitted in one task."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(remainder(F.col("doc_id")) != 1)
+    chosen = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCUMENTS)
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    own, class_tokens, schema = vocabulary.own, vocabulary.class_tokens, arrow_schema("model array<double>")
+
+    def run(batches):
+        classes, found = WordClasses(own), {}
+        for _, keys, some in slices(batches, "doc_id", "text"):
+            for key, text in zip(keys, some, strict=True):
+                found[key] = np.array([*map(classes.__getitem__, words_of(text)), 0], np.uint16)
+        yield rows_to_batch(schema, [[flattened(first_parameters([found[key] for key in sorted(found)], class_tokens))]])
+
+    best = map_batches(sample.repartition(1), run, "model array<double>").first()
+    return unflattened(best["model"]) if best else first_parameters([], class_tokens)
+
+
+def train(documents: DataFrame, batches: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> Parameters:
     """Baum-Welch over all training documents; Spark sums the expected counts by class."""
     ddl = "kind int, " + ", ".join(f"s{i} double" for i in range(STATES))
     schema = arrow_schema(ddl)
@@ -315,18 +333,7 @@ def train(batches: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> P
         flat = np.frombuffer(row_classes, np.uint16)
         return flat[np.repeat(mask, lengths)], lengths[mask]
 
-    # A few documents of a few batches are enough to begin with; the driver asks for those batches alone.
-    chosen = [r[0] for r in batches.select("batch").orderBy(F.xxhash64("batch"), "batch").limit(FIRST_DOCUMENTS // 60).collect()]
-    some = batches.where(F.col("batch").isin(chosen)).select("batch", F.slice("doc_id", 1, 60).alias("doc_id"), F.slice("n", 1, 60).alias("n"), F.expr("substring(classes, 1, 400000)").alias("classes")).collect()
-    some.sort(key=lambda r: r["batch"])
-    first: list[np.ndarray] = []
-    for r in some:
-        ends = np.cumsum(r["n"])
-        flat = np.frombuffer(bytes(r["classes"]), np.uint16)
-        for i, (end, n, ok) in enumerate(zip(ends, r["n"], in_training(r["doc_id"]), strict=True)):
-            if ok and end <= len(flat):
-                first.append(flat[end - n : end])
-    model = first_parameters(first, vocabulary.class_tokens)
+    model = begin(documents, vocabulary)
     own = batches.select("doc_id", "n", "classes")
     for _ in range(passes):
 
@@ -400,13 +407,11 @@ def score(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     ship(spark)
-    folder = f"{checkpoint_dir(spark)}/hmm-{uuid.uuid4().hex}"
-    count_words(documents).write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
+    work = Scratch(spark, "hmm")
+    counts = work.write(count_words(documents))
     vocabulary = gather_vocabulary(counts)
-    batch_documents(documents, vocabulary).write.parquet(f"{folder}/batches")
-    batches = spark.read.parquet(f"{folder}/batches")
-    model = train(batches, vocabulary)
+    batches = work.write(batch_documents(documents, vocabulary))
+    model = train(documents, batches, vocabulary)
     buckets = 1 + vocabulary.tokens // BUCKET_TOKENS
     total, types = vocabulary.tokens, vocabulary.types
     base_of = np.log10((np.concatenate(([vocabulary.class_tokens[0]], vocabulary.own_counts)) + 0.5) / (total + 0.5 * (types + 1)))
