@@ -29,6 +29,8 @@ from lakescout.llm.quality import calibrate, pa_mask, sigmoid, training_rows
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE_ROWS = 6_000
+#: Runs of 16 words of ordinary training texts that the ordinary dictionary is trained on at most, evenly spread.
+TRAINING_RUNS = 60_000
 WINDOW_WORDS = 8
 ORDINARY_BYTES = 16_384
 #: Lengths of n-grams in characters.
@@ -206,7 +208,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Dictionaries:
     if not telling:
         return flat
     plain = [b" ".join(d[i : i + 16]) for d in split[1] for i in range(0, len(d), 16)]
-    base = train_ordinary(plain[:: 1 + len(plain) // 60_000])
+    base = train_ordinary(plain[:: 1 + len(plain) // TRAINING_RUNS])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     best, model = math.inf, flat
     # Whole words save more where a class forms them alike, and cost more where ordinary text has them too.
