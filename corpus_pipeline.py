@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lakescout.llm import near_dedup, packing, quality, toxicity
-from lakescout.llm.common import checkpoint_dir, table
+from lakescout.llm.common import Scratch, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +32,15 @@ STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("near_dedup", no_
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written as Parquet and read again as the next one's documents."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    """The stages in order over documents, each written as Parquet and read again as the next one's documents. What a
+    stage read goes once it has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        written = Scratch(spark, f"corpus-{name}")
+        docs = written.write(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.clear()
+        before = written
     return docs
 
 
