@@ -53,16 +53,22 @@ def keyword_score(query: Column, text: Column) -> Column:
     return F.when((F.size(q) == 0) | (F.size(t) == 0), F.lit(0.0)).otherwise(score)
 
 
-#: Stems of files that describe a data set.
-METADATA_STEMS = ["readme", "license", "metadata", "schema", "data_dictionary", "datapackage", "dataset-metadata", "description", "about", "changelog"]
+#: Stems of files that describe data, and forms of such stems.
+METADATA_STEMS = ["cc-zero", "cc-by", "legalcode", "open-licenses", "government-works", "odc-odbl", "license", "index", "metadata", "catalog", "dcat-us", "iso", "edit", "search", "contact", "resolve", "request", "wmsserver", "policyinformation", "gmxcodelists", "gmi", "readme", "headers", "signed-metadata", "bios", "hires", "cwhr", "v1", "v2"]
+METADATA_FORMS = [r"^[a-z0-9]{4}-[a-z0-9]{4}$", r"^\d+(-\d+)?$", r"^index-[A-Za-z0-9]{6}$", r"^doi-[a-z0-9]+$", r"^www_[a-z0-9_]+$"]
 
 
 def is_metadata_uri(uri: Column) -> Column:
-    """Whether a path names a description of data rather than data."""
-    name = F.element_at(F.split(uri, "/"), -1)
-    stem = F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))
-    slug = F.lower(F.regexp_extract(uri, "([^/]+)/files/[^/]+$", 1))
-    return stem.isin(METADATA_STEMS) | stem.rlike(r"^[a-z0-9]{4}-[a-z0-9]{4}$") | stem.rlike(r"^[0-9]+$") | stem.rlike(r"^index-[a-z0-9]{6}$") | stem.rlike(r"^(doi-|www_)") | ((slug != "") & (stem == slug))
+    """Whether a path names a description of data rather than data: by a known stem or form, or by the name of the
+    folder before its first ``files``."""
+    parts = F.split(uri, "/")
+    stem = F.lower(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
+    at = F.array_position(parts, "files").cast("int")
+    slug = F.when(at > 0, F.lower(F.element_at(parts, F.when(at > 1, at - 1).otherwise(-1)))).otherwise("")
+    known = stem.isin(METADATA_STEMS) | ((slug != "") & (stem == slug))
+    for form in METADATA_FORMS:
+        known = known | stem.rlike(form)
+    return known
 
 
 def table_name_of(path: Column) -> Column:
@@ -79,13 +85,16 @@ def counter(mark: str):
 
 
 def looks_like_table(text: Column) -> Column:
-    """Whether the first lines look like JSON rows or delimited rows of equal width."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    """Whether the first lines look like JSON rows or delimited rows of equal width. What begins as JSON but isn't a
+    row a line is no table."""
+    stripped = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.filter(stripped, lambda x: x != "")
     first = F.slice(lines, 1, 5)
-    json_rows = F.size(F.filter(first, lambda x: F.trim(x).rlike(r"^\{.*\}$")))
-    tests = [json_rows >= 3]
+    json_rows = F.size(F.filter(first, lambda x: x.startswith("{") & x.endswith("}"))) >= 3
+    delimited = []
     for mark in (",", "\t", "|", ";"):
         bare = F.transform(first, lambda x: F.regexp_replace(x, '"[^"]*"', ""))
         counts = F.slice(F.filter(F.transform(bare, counter(mark)), lambda n: n > 0), 1, 3)
-        tests.append((F.size(counts) == 3) & (F.size(F.array_distinct(counts)) == 1))
-    return (F.size(lines) >= 3) & F.array_contains(F.array(*tests), True)
+        delimited.append((F.size(counts) == 3) & (F.size(F.array_distinct(counts)) == 1))
+    nested = F.substring(F.get(lines, 0), 1, 1).isin("{", "[")
+    return (F.size(lines) >= 3) & (json_rows | (~nested & F.array_contains(F.array(*delimited), True)))

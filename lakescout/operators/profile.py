@@ -18,6 +18,54 @@ def column_types(df: DataFrame, skip: tuple = ()) -> dict[str, str]:
     return {f.name: "N" if isinstance(f.dataType, NUMBER) else "T" for f in df.schema.fields if f.name not in skip and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
 
 
+STATISTICS = ("min_value", "max_value", "avg_value", "median", "iqr")
+
+
+def estimated(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Statistics of all columns from one aggregation, with sketches."""
+    aggregates = []
+    for i, (c, kind) in enumerate(types.items()):
+        col = F.col(f"`{c}`")
+        aggregates += [F.count(col).alias(f"n{i}"), F.approx_count_distinct(col, 0.01).alias(f"u{i}")]
+        if kind == "N":
+            x = col.cast("double")
+            finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+            aggregates += [F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"), (F.sum(F.round(finite, 4).cast("decimal(28,4)")).cast("double") / F.count(finite)).alias(f"av{i}"), F.percentile_approx(finite, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}")]
+        else:
+            aggregates += [F.lit(None).cast("double").alias(f"{x}{i}") for x in ("lo", "hi", "av")] + [F.lit(None).cast("array<double>").alias(f"q{i}")]
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), *(F.col(f"{x}{i}").alias(x) for x in ("n", "u", "lo", "hi", "av", "q"))) for i in range(len(types))))
+    return df.agg(*aggregates).select(F.inline(rows))
+
+
+def counted(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The same exactly. Each column's values are counted first, wherever they lie, so that a value is one row for what
+    follows and no row is expanded once for each distinct count."""
+
+    def cells(kind: str, *of) -> DataFrame:
+        found = [F.struct(F.lit(i).alias("i"), *(f(c).alias(n) for n, f in of)) for i, (c, k) in enumerate(types.items()) if k == kind]
+        return df.select(F.inline(F.array(*found))).where("x is not null").groupBy("i", *(n for n, _ in of)).agg(F.count(F.lit(1)).alias("c")) if found else None
+
+    def number(c: str):
+        return F.col(f"`{c}`").cast("double") + F.lit(0.0)
+
+    def rest(c: str):
+        # What a double of 53 bits doesn't hold of a value.
+        kind = df.schema[c].dataType
+        return F.xxhash64(F.col(f"`{c}`")) if isinstance(kind, (T.LongType, T.DecimalType)) else F.lit(0).cast("long")
+
+    parts = []
+    numbers = cells("N", ("x", number), ("rest", rest))
+    if numbers is not None:
+        finite = F.when(~F.isnan("x") & (F.abs("x") != float("inf")), F.col("x"))
+        total = F.sum(F.round(finite, 4).cast("decimal(28,4)") * F.col("c").cast("decimal(10,0)")).cast("double") / F.sum(F.when(finite.isNotNull(), F.col("c")))
+        quantiles = F.call_function("percentile", finite, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c"))
+        parts.append(numbers.groupBy("i").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("u"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), total.alias("av"), quantiles.alias("q")))
+    texts = cells("T", ("x", lambda c: F.col(f"`{c}`").cast("string")))
+    if texts is not None:
+        parts.append(texts.groupBy("i").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("u")).select("i", "n", "u", *(F.lit(None).cast("double").alias(x) for x in ("lo", "hi", "av")), F.lit(None).cast("array<double>").alias("q")))
+    return union_all(parts)
+
+
 def profile_table(df: DataFrame, source_name: str, db_name: str = "lake", path: str = "", exact: bool = False, columns: list[str] | None = None) -> DataFrame:
     """The profile rows of a table's columns.
 
@@ -26,25 +74,14 @@ def profile_table(df: DataFrame, source_name: str, db_name: str = "lake", path:
     the statistics, which are 0 if no finite value is there.
     """
     types = {c: t for c, t in column_types(df).items() if columns is None or c in columns}
-    aggregates = []
-    for i, (c, kind) in enumerate(types.items()):
-        col = F.col(f"`{c}`")
-        distinct = F.count_distinct(col) if exact else F.approx_count_distinct(col, 0.01)
-        aggregates += [F.count(col).alias(f"n{i}"), distinct.alias(f"u{i}")]
-        if kind == "N":
-            x = col.cast("double")
-            finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-            q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-            quantiles = F.call_function("percentile", finite, q) if exact else F.percentile_approx(finite, [0.25, 0.5, 0.75], 10_000)
-            aggregates += [F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"), (F.sum(F.round(finite, 4).cast("decimal(28,4)")).cast("double") / F.count(finite)).alias(f"av{i}"), quantiles.alias(f"q{i}")]
-    row = df.agg(*aggregates)
-    zero = F.lit(0.0)
-    structs = []
-    for i, (c, kind) in enumerate(types.items()):
-        numbers = [F.coalesce(F.col(x), zero) for x in (f"lo{i}", f"hi{i}", f"av{i}")] + [F.coalesce(F.col(f"q{i}")[1], zero), F.coalesce(F.col(f"q{i}")[2] - F.col(f"q{i}")[0], zero)] if kind == "N" else [zero] * 5
-        names = ("min_value", "max_value", "avg_value", "median", "iqr")
-        structs.append(F.struct(F.lit(f"{source_name}.{c}").alias("nid"), F.lit(db_name).alias("db_name"), F.lit(path).alias("path"), F.lit(source_name).alias("source_name"), F.lit(c).alias("column_name"), F.lit(kind).alias("data_type"), F.col(f"n{i}").alias("total_values"), F.col(f"u{i}").alias("unique_values"), F.lit("").alias("entities"), *(x.alias(n) for x, n in zip(numbers, names, strict=True))))
-    return row.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+    named = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column_name"), F.lit(kind).alias("data_type")) for i, (c, kind) in enumerate(types.items())))
+    # A row for each column, empty ones as well.
+    every = df.sparkSession.range(1).select(F.inline(named))
+    found = every.join(F.broadcast((counted if exact else estimated)(df, types)), "i", "left")
+    numbers = [F.col("lo"), F.col("hi"), F.col("av"), F.col("q")[1], F.col("q")[2] - F.col("q")[0]]
+    statistics = [F.coalesce(x, F.lit(0.0)).alias(n) for x, n in zip(numbers, STATISTICS, strict=True)]
+    counts = [F.coalesce(F.col(x), F.lit(0).cast("long")).alias(n) for x, n in (("n", "total_values"), ("u", "unique_values"))]
+    return found.select(F.concat(F.lit(f"{source_name}."), "column_name").alias("nid"), F.lit(db_name).alias("db_name"), F.lit(path).alias("path"), F.lit(source_name).alias("source_name"), "column_name", "data_type", *counts, F.lit("").alias("entities"), *statistics)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -34,8 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Profiles that this process has written, by session, folder, kind and when the tables were changed last.
+WRITTEN: dict[tuple, DataFrame] = {}
+
+
 def profile(spark: SparkSession, sf_dir: str, exact: bool = True) -> DataFrame:
-    return P.union_all([P.profile_table(table(spark, sf_dir, t), t, exact=exact, columns=NUMERIC[t] + TEXT[t]) for t in NUMERIC])
+    """The profile of the lake, a row for each of its columns, written once and read by every query that needs it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    times = [path(f"{sf_dir}/{t}.parquet").getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f"{sf_dir}/{t}.parquet")).getModificationTime() for t in NUMERIC]
+    key = (spark.sparkContext.applicationId, sf_dir, exact, *times)
+    if key not in WRITTEN:
+        for old in [k for k in WRITTEN if k[:3] == key[:3] or k[0] != key[0]]:
+            del WRITTEN[old]
+        WRITTEN[key] = cut(P.union_all([P.profile_table(table(spark, sf_dir, t), t, exact=exact, columns=NUMERIC[t] + TEXT[t]) for t in NUMERIC]), 1)
+    return WRITTEN[key]
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +60,7 @@ def cells(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]] | None
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges by numeric content, inclusion, islands and keys. The profile has a row for each column."""
-    found = cut(profile(spark, sf_dir), 1)
+    found = profile(spark, sf_dir)
     n = P.nodes_of(found)
     basic = cut(E.numeric_content(found).unionByName(E.inclusion(found)).unionByName(E.zero_iqr(found)), 1)
     return n, cut(basic.unionByName(E.pkfk(basic, n)), 1)
@@ -59,7 +71,7 @@ def _column(t: str, c: str, kind: str) -> str:
     return f"SELECT '{t}.{c}', '{t}', '{c}', '{kind}', count({c}), count(DISTINCT {c}), {stats} FROM {t}"
 
 
-PROFILE_SQL = "prof(nid, source_name, column_name, data_type, total_values, unique_values, min_value, max_value, avg_value, median, iqr) AS (" + " UNION ALL ".join([_column(t, c, "N") for t, cs in NUMERIC.items() for c in cs] + [_column(t, c, "T") for t, cs in TEXT.items() for c in cs]) + ")"
+PROFILE_SQL = "prof(nid, source_name, column_name, data_type, total_values, unique_values, min_value, max_value, avg_value, median, iqr) AS MATERIALIZED (" + " UNION ALL ".join([_column(t, c, "N") for t, cs in NUMERIC.items() for c in cs] + [_column(t, c, "T") for t, cs in TEXT.items() for c in cs]) + ")"
 NODES_SQL = "nodes AS (SELECT nid, 'lake' AS db_name, source_name, column_name AS field_name, data_type, unique_values / total_values AS cardinality FROM prof)"
 EDGES_SQL = """
 iv AS (SELECT nid, median - iqr AS l, median + iqr AS r, (median + iqr) - (median - iqr) AS domain, min_value, max_value FROM prof WHERE data_type = 'N'),

@@ -248,11 +248,12 @@ def _uri():
     return F.concat(F.lit("s3://lake/"), F.col("c_mktsegment"), F.lit("/files/"), stem, F.lit(".csv"))
 
 
-_STEMS = ", ".join(f"'{w}'" for w in TX.METADATA_STEMS)
+_STEMS = "'cc-zero', 'cc-by', 'legalcode', 'open-licenses', 'government-works', 'odc-odbl', 'license', 'index', 'metadata', 'catalog', 'dcat-us', 'iso', 'edit', 'search', 'contact', 'resolve', 'request', 'wmsserver', 'policyinformation', 'gmxcodelists', 'gmi', 'readme', 'headers', 'signed-metadata', 'bios', 'hires', 'cwhr', 'v1', 'v2'"
 
 
-@query(f"""WITH u AS (SELECT c_custkey, {_URI} AS uri FROM customer), s AS (SELECT c_custkey, uri, lower(regexp_replace(string_split(uri, '/')[-1], '\\.[^.]*$', '')) AS stem, lower(regexp_extract(uri, '([^/]+)/files/[^/]+$', 1)) AS slug FROM u)
-SELECT c_custkey, stem IN ({_STEMS}) OR regexp_matches(stem, '^[a-z0-9]{{4}}-[a-z0-9]{{4}}$') OR regexp_matches(stem, '^[0-9]+$') OR regexp_matches(stem, '^index-[a-z0-9]{{6}}$') OR regexp_matches(stem, '^(doi-|www_)') OR (slug <> '' AND stem = slug) AS is_metadata FROM s""")
+@query(f"""WITH u AS (SELECT c_custkey, {_URI} AS uri FROM customer), s AS (SELECT c_custkey, lower(regexp_replace(string_split(uri, '/')[-1], '\\.[^.]*$', '')) AS stem, string_split(uri, '/') AS p, list_position(string_split(uri, '/'), 'files') AS place FROM u),
+w AS (SELECT c_custkey, stem, CASE WHEN place > 0 THEN lower(p[CASE WHEN place > 1 THEN place - 1 ELSE -1 END]) ELSE '' END AS slug FROM s)
+SELECT c_custkey, stem IN ({_STEMS}) OR regexp_full_match(stem, '[a-z0-9]{{4}}-[a-z0-9]{{4}}') OR regexp_full_match(stem, '\\d+(-\\d+)?') OR regexp_full_match(stem, 'index-[A-Za-z0-9]{{6}}') OR regexp_full_match(stem, 'doi-[a-z0-9]+') OR regexp_full_match(stem, 'www_[a-z0-9_]+') OR (slug <> '' AND stem = slug) AS is_metadata FROM w""")
 def uri_is_metadata(spark, d):
     return L.table(spark, d, "customer").select("c_custkey", TX.is_metadata_uri(_uri()).alias("is_metadata"))
 
@@ -271,7 +272,12 @@ def keyword_coverage_score(spark, d):
     return L.table(spark, d, "benchmark").select("item_id", F.round(TX.keyword_score(F.lit("the of thing"), F.col("text")), 9).alias("score"))
 
 
-@query("SELECT item_id, false AS is_table FROM benchmark")
+_WIDTHS = "list_filter(list_transform(head, lambda x: len(regexp_replace(x, '\"[^\"]*\"', '', 'g')) - len(replace(regexp_replace(x, '\"[^\"]*\"', '', 'g'), {mark}, ''))), lambda n: n > 0)[1:3]"
+_EVEN = " OR ".join(f"(len({_WIDTHS.format(mark=m)}) = 3 AND len(list_distinct({_WIDTHS.format(mark=m)})) = 1)" for m in ("','", "chr(9)", "'|'", "';'"))
+
+
+@query(f"""WITH l AS (SELECT item_id, list_filter(list_transform(string_split(concat_ws(chr(10), text, text), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lines FROM benchmark), h AS (SELECT item_id, lines, lines[1:5] AS head FROM l)
+SELECT item_id, len(lines) >= 3 AND (len(list_filter(head, lambda x: starts_with(x, '{{') AND ends_with(x, '}}'))) >= 3 OR (lines[1][1] NOT IN ('{{', '[') AND ({_EVEN}))) AS is_table FROM h""")
 def table_by_peek(spark, d):
     return L.table(spark, d, "benchmark").select("item_id", TX.looks_like_table(F.concat_ws("\n", "text", "text")).alias("is_table"))
 

@@ -127,3 +127,30 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert {"nbr_pkfk", "join_tree_fold"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_peeking_and_names_of_metadata(spark):
+    from lakescout.functions import text as TX
+
+    peeks = {"a,b\n1,2\n3,4": True, '{"a": 1}\n{"a": 2}\n{"a": 3}': True, '{\n"a": 1,\n"b": 2,\n"c": 3,\n}': False, "[1,\n2,\n3,\n4]": False, "a\tb\t\n1\t2\n3\t4": True, "a;b\n1,2": False, '"x,y",b\n1,2\n3,4': True, "": False}
+    rows = spark.createDataFrame([(t,) for t in peeks], "t string").select("t", TX.looks_like_table(F.col("t")).alias("y")).collect()
+    assert {r["t"]: r["y"] for r in rows} == peeks
+    uris = {"s3://b/x/files/34104-2.csv": True, "s3://b/x/files/v2.json": True, "s3://b/x/files/X.csv": True, "s3://b/x/files/doi-12": True, "s3://b/x/files/doi-1_2": False, "s3://b/x/files/changelog.md": False, "s3://b/x/files/index-yPXves.txt": True, "s3://b/x/www_a.b": True, "files/readme2": True, "x/sales.csv": False}
+    rows = spark.createDataFrame([(t,) for t in uris], "t string").select("t", TX.is_metadata_uri(F.col("t")).alias("y")).collect()
+    assert {r["t"]: r["y"] for r in rows} == uris
+
+
+def test_exact_profile_equals_plain_python(spark):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 2**53, 2**53 + 1, 5, -3]), rng.choice([None, 0.5, 1.25, float("nan"), float("inf"), -0.0, 0.0]), rng.choice([None, "", "a", "b"]), None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k long, x double, t string, e int")
+    found = {r["column_name"]: r for r in profile.profile_table(df, "s", exact=True).collect()}
+    for i, c in enumerate("kxte"):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert found[c]["total_values"] == len(values) and found[c]["unique_values"] == len({"nan" if v != v else v for v in values}) and found[c]["nid"] == f"s.{c}"
+    finite = [r[1] for r in rows if r[1] is not None and abs(r[1]) < 9]
+    assert found["x"]["max_value"] == 1.25 and abs(found["x"]["avg_value"] - statistics.mean(finite)) < 1e-9 and found["x"]["median"] == statistics.median(finite)
+    assert found["e"]["max_value"] == 0.0 and found["t"]["iqr"] == 0.0
