@@ -153,7 +153,8 @@ def improved(graph: DataFrame, before: DataFrame | None, points: DataFrame, widt
     guests = chosen.join(known, "guest").groupBy("host").agg(F.collect_list("guest").alias("guest"), F.collect_list("new").alias("new"), F.collect_list("code").alias("code"), F.collect_list("worst").alias("worst"))
 
     def run(batches):
-        for part in parts_of(batches, 2000):
+        # Lists of many hosts are merged here, before they are shuffled.
+        for part in parts_of(batches, 6000):
             offsets = np.asarray(part.column(0).offsets) - part.column(0).offsets[0].as_py()
             ids, new = np.asarray(part.column(0).flatten()), np.asarray(part.column(1).flatten())
             codes = bytes_of(part.column(2).flatten(), width) if len(ids) else np.zeros((0, width), np.float32)
