@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakescout.operators import joins
+from lakescout.operators import search as search_by
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,16 @@ def joint_filters(nodes: DataFrame, values: DataFrame, filters: list[Filter]) ->
     return out
 
 
+def individual_filters(names: DataFrame, texts: DataFrame, filters: list[Filter], n: int = 200) -> DataFrame:
+    """(filter_id, kind, nid, score): columns named like each attribute, and the n whose values match each cell best.
+
+    ``names`` and ``texts`` are (nid, text) of names and of values. Cells are numbered behind the attributes.
+    """
+    parts = [search_by.exact_name(names, f.attribute, n).select(F.lit(f.number).alias("filter_id"), F.lit("ATTR").alias("kind"), "nid", "score") for f in filters]
+    parts += [search_by.bm25(texts, f.cell, n).select(F.lit(len(filters) + f.number).alias("filter_id"), F.lit("CELL").alias("kind"), "nid", "score") for f in filters if f.cell]
+    return reduce(DataFrame.union, parts)
+
+
 def covering_tables(found: DataFrame) -> DataFrame:
     """(source_name, filters, n): tables with the filters they fulfil, most first."""
     sets = found.groupBy("source_name").agg(F.array_sort(F.collect_set("filter_id")).alias("filters"))
@@ -60,6 +73,17 @@ def candidate_groups(tables: list[tuple[str, frozenset[int]]], wanted: frozenset
     yield from partial
 
 
+def every_group(tables: list[tuple[str, frozenset[int]]]) -> Iterator[tuple[list[str], frozenset[int]]]:
+    """All groups of tables with what they cover: largest covers first, then smaller groups, then by name."""
+    groups = []
+    for size in range(1, len(tables) + 1):
+        for group in combinations(sorted(tables), size):
+            cover = frozenset().union(*(own for _, own in group))
+            groups.append((-len(cover), size, [name for name, _ in group], cover))
+    for _, _, group, cover in sorted(groups, key=lambda g: g[:3]):
+        yield group, cover
+
+
 def hop_pairs(path: list[tuple[str, str]]) -> list[tuple[tuple[str, str], tuple[str, str]]]:
     """Pairs of neighbouring columns of a path that lie in different tables."""
     return [(a, b) for a, b in zip(path[::2], path[1::2], strict=False) if a[0] != b[0]]
@@ -83,7 +107,8 @@ def materialise(tables: dict[str, DataFrame], hops: list[tuple[str, str, str, st
 
 
 def search(tables: dict[str, DataFrame], nodes: DataFrame, values: DataFrame, hops_of, filters: list[Filter]) -> Iterator[tuple[list[str], DataFrame]]:
-    """Views for the filters, best group first. ``hops_of(group)`` gives the join graphs that connect a group's tables."""
+    """Views for the filters, best group first. ``hops_of(group)`` gives the join graphs that connect
+    a group's tables, in the order to try; ``joingraphs.discovered`` makes it from the lake's key edges."""
     found = joint_filters(nodes, values, filters)
     rows = [(r["source_name"], frozenset(r["filters"])) for r in covering_tables(found).collect()]
     wanted, cells = frozenset(f.number for f in filters), {}
@@ -99,6 +124,6 @@ def search(tables: dict[str, DataFrame], nodes: DataFrame, values: DataFrame, ho
         if len(group) == 1:
             yield group, joins.cell_filter(tables[group[0]], cells.get(group[0], {})).select(*attributes)
             continue
-        for hops in sorted(hops_of(group), key=lambda h: (len(h), graph_id(h))):
+        for hops in hops_of(group):
             if can_materialise(tables, hops, cells):
                 yield group, materialise(tables, hops, cells, attributes)

@@ -172,3 +172,30 @@ def ks_statistic(a: DataFrame, b: DataFrame) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("x")
     gaps = ranged.join(F.broadcast(before), "part").select("na", "nb", F.abs((F.col("pa") + F.sum("ca").over(inner)) / F.col("na") - (F.col("pb") + F.sum("cb").over(inner)) / F.col("nb")).alias("gap"))
     return gaps.agg(F.max("gap").alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
+
+
+def ks_similar(a: DataFrame, b: DataFrame, d_th: float = 0.1, p_th: float = 0.05) -> DataFrame:
+    """(d, p, similar): two samples are alike where the distance is small and not significant; p is asymptotic."""
+    n = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
+    # The alternating series settles within a few terms unless its argument is near 0, where p is 1.
+    at = (n + 0.12 + 0.11 / n) * F.col("d")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * F.col("at") * F.col("at")))
+    p = F.when(F.col("at") < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    out = ks_statistic(a, b).withColumn("at", at).withColumn("p", p)
+    return out.select("d", "p", ((F.col("d") < d_th) & (F.col("p") > p_th)).alias("similar"))
+
+
+def text_tfidf(cells: DataFrame, terms, k: int = DEFAULT.schema_sim_neighbours) -> DataFrame:
+    """CONTENT_SIM of text columns: the k nearest of each by tf-idf cosine of the words of all its values.
+
+    Words are counted by column before anything is compared, so a column's size only matters to the count.
+    """
+    counts = cells.select(F.col("nid").alias("key"), F.explode(terms).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = counts.select("key").distinct().agg(F.count(F.lit(1)).alias("n"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = counts.join(df, "term").join(F.broadcast(total), F.lit(True)).select("key", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norms = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    vectors = raw.join(norms, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
+    both = cosine_pairs(vectors).select("a", "b", F.round("cosine", 6).alias("cosine")).where("cosine > 0")
+    best = top_per(both.union(both.select("b", "a", "cosine")), "a", "cosine", "b", k)
+    return best.select(F.least("a", "b").alias("src_nid"), F.greatest("a", "b").alias("dst_nid"), F.lit("CONTENT_SIM").alias("relation"), F.col("cosine").alias("score")).distinct()

@@ -60,3 +60,19 @@ def fold(tables: dict[str, DataFrame], hops: list[tuple[str, str, str, str]]) ->
 
 def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
+
+#: Bytes of a value in an estimate: texts count as a reference to them.
+VALUE_BYTES = 8
+
+
+def join_estimate(a: DataFrame, b: DataFrame, limit_bytes: int) -> DataFrame:
+    """(row_bytes, cartesian_rows, cartesian_bytes, fits): the size of a joined row and the most that a join can give."""
+    width = VALUE_BYTES * (len(a.columns) + len(b.columns))
+    rows = a.agg(F.count(F.lit(1)).alias("na")).join(F.broadcast(b.agg(F.count(F.lit(1)).alias("nb"))), F.lit(True))
+    n = F.col("na") * F.col("nb")
+    return rows.select(F.lit(width).cast("long").alias("row_bytes"), n.alias("cartesian_rows"), (n * width).alias("cartesian_bytes"), (n * width <= limit_bytes).alias("fits"))
+
+
+def attributes_to_project(filters: list[tuple[str, str]], available: list[str]) -> list[str]:
+    """The filters' attributes that a view has, in their order, once each; ``filters`` are (attribute, cell)."""
+    return [c for c in dict.fromkeys(a for a, _ in filters) if c in available]

@@ -143,3 +143,12 @@ def nodes_of(profile: DataFrame) -> DataFrame:
 def latest_by_nid(profile: DataFrame, version: str) -> DataFrame:
     """Last writer wins: of several rows of a nid, the one with the largest version."""
     return profile.groupBy("nid").agg(F.max_by(F.struct(*profile.columns), version).alias("p")).select("p.*")
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """(column_name, n, mean, std, least, q25, q50, q75, largest) of the numeric columns; quartiles are approximate."""
+    numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
+    cells = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in numbers)).unpivot([], [F.col(f"`{c}`") for c in numbers], "column_name", "v")
+    quartiles = F.percentile_approx("v", [0.25, 0.5, 0.75])
+    out = cells.groupBy("column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("least"), quartiles.alias("q"), F.max("v").alias("largest"))
+    return out.select("column_name", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "largest")

@@ -80,3 +80,45 @@ def any_of(results: list[DataFrame]) -> DataFrame:
 def first_of_each(hits: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("priority", F.desc("score"), "nid")
     return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def contains_entity(profile: DataFrame, keyword: str, n: int) -> DataFrame:
+    """(nid, score): columns whose entities contain the keyword."""
+    return profile.where(F.col("entities").contains(keyword)).select("nid", F.lit(1.0).alias("score")).orderBy("nid").limit(n)
+
+
+def automatic_edits(keyword: str) -> int:
+    """Edits that a fuzzy search allows if none are named: 0 up to 2 characters, 1 up to 5, else 2."""
+    return 0 if len(keyword) <= 2 else 1 if len(keyword) <= 5 else 2
+
+
+def fuzzy_auto(docs: DataFrame, keyword: str, n: int) -> DataFrame:
+    return fuzzy(docs, keyword, automatic_edits(keyword), n)
+
+
+def by_nid(nodes: DataFrame, nids: list[str]) -> DataFrame:
+    """The names of columns given by nid."""
+    return nodes.where(F.col("nid").isin(nids)).select("nid", "db_name", "source_name", "field_name")
+
+
+def path_of(profile: DataFrame, nid: str) -> DataFrame:
+    """(nid, path): where the table of a column is stored."""
+    return profile.where(F.col("nid") == nid).select("nid", "path")
+
+
+def similar_names(names: DataFrame, query: str, n: int, tokens) -> DataFrame:
+    """(nid, cosine): the n names nearest to the query by tf-idf cosine, exactly. ``tokens`` makes words of a text;
+    words of the query that no name has don't count."""
+    from lakescout.operators.edges import tfidf
+
+    docs = names.select(F.col("nid").alias("key"), tokens(F.col("text")).alias("terms"))
+    asked = names.sparkSession.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    # The query's few words.
+    held = tfidf(docs).join(F.broadcast(asked), "term")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    wanted = asked.join(df, "term").join(F.broadcast(total), F.lit(True)).select("term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("q"))
+    length = wanted.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
+    weights = wanted.join(F.broadcast(length), F.lit(True)).select("term", (F.col("q") / F.col("length")).alias("q"))
+    found = held.select("key", "term", "w").join(F.broadcast(weights), "term").groupBy(F.col("key").alias("nid")).agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("cosine"))
+    return found.orderBy(F.desc("cosine"), "nid").limit(n)

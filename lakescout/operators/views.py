@@ -114,3 +114,59 @@ def containment(rows: DataFrame) -> DataFrame:
     shared = distinct.toDF("a", "row_hash").join(distinct.toDF("b", "row_hash"), "row_hash").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     out = shared.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     return out.select("a", "b", "shared", (F.col("na") - F.col("shared")).alias("only_a"), (F.col("nb") - F.col("shared")).alias("only_b"))
+
+
+def schema_groups(views: dict[str, DataFrame]) -> dict[tuple[str, ...], list[str]]:
+    """Names of views by the set of their column names."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name, df in views.items():
+        groups.setdefault(tuple(sorted(df.columns)), []).append(name)
+    return groups
+
+
+def key_of_pair(a: DataFrame, b: DataFrame) -> str:
+    """One key for both views: of their most likely keys the one that comes last by name."""
+    return max(most_likely_key(df).first()["column_name"] for df in (a, b))
+
+
+def group_relations(views: dict[str, DataFrame], key: str) -> DataFrame:
+    """(a, b, contradictory, only_a, only_b, relation) of all pairs a < b of views with the same columns, in one job.
+
+    A key contradicts where its rows differ. Without such keys the views have equal keys ('compatible'), one holds the
+    other ('contained'), or each has keys of its own ('complementary').
+    """
+    per = None
+    for name, df in views.items():
+        rows = key_groups(df, key, sorted(df.columns)).select(F.lit(name).alias("view"), "key", "digest")
+        per = rows if per is None else per.union(rows)
+    sizes = per.groupBy("view").agg(F.count(F.lit(1)).alias("n"))
+    met = per.toDF("a", "key", "x").join(per.toDF("b", "key2", "y"), F.col("key").eqNullSafe(F.col("key2"))).where("a < b")
+    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("x") != F.col("y")).alias("contradictory"))
+    names = sorted(views)
+    pairs = per.sparkSession.createDataFrame([(x, y) for i, x in enumerate(names) for y in names[i + 1 :]], "a string, b string")
+    out = pairs.join(shared, ["a", "b"], "left").join(sizes.toDF("a", "na"), "a", "left").join(sizes.toDF("b", "nb"), "b", "left").na.fill(0, ["shared", "contradictory", "na", "nb"])
+    out = out.select("a", "b", "contradictory", (F.col("na") - F.col("shared")).alias("only_a"), (F.col("nb") - F.col("shared")).alias("only_b"))
+    kind = F.when(F.col("contradictory") > 0, "contradictory").when((F.col("only_a") == 0) & (F.col("only_b") == 0), "compatible").when((F.col("only_a") == 0) | (F.col("only_b") == 0), "contained").otherwise("complementary")
+    return out.withColumn("relation", kind)
+
+
+def summary(relations: DataFrame) -> DataFrame:
+    """(relation, n): how many choices a user has: groups, not pairs. Complementary pairs count by their first view,
+    and of containers only those count that no other view holds."""
+    holders = outer_containers(relations).select("holder").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("contained").alias("relation"), "n")
+    first = relations.where("relation = 'complementary'").select("a").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("complementary"), "n")
+    rest = [relations.where(F.col("relation") == kind).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind), "n") for kind in ("compatible", "contradictory")]
+    return holders.union(first).union(rest[0]).union(rest[1])
+
+
+def outer_containers(relations: DataFrame) -> DataFrame:
+    """(holder, held): views that no other holds, with all they hold, through others too."""
+    from lakescout.operators.lineage import cut
+
+    holds = relations.where("relation = 'contained'").select(F.when(F.col("only_a") == 0, F.col("b")).otherwise(F.col("a")).alias("holder"), F.when(F.col("only_a") == 0, F.col("a")).otherwise(F.col("b")).alias("held"))
+    every = frontier = cut(holds.distinct())
+    while not frontier.isEmpty():
+        step = frontier.join(holds.toDF("held", "further"), "held").select("holder", F.col("further").alias("held")).where("holder <> held").distinct()
+        frontier = cut(step.join(every, ["holder", "held"], "left_anti"))
+        every = every.union(frontier)
+    return every.join(holds.select(F.col("held").alias("holder")), "holder", "left_anti")
