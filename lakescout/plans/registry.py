@@ -351,7 +351,7 @@ def kw_suggest_prefix(spark, d):
 
 @query(f"WITH {_NAMES} SELECT nid, 1.0::DOUBLE AS score FROM docs WHERE text ILIKE '%key%' OR text = 'n_name'")
 def kw_multi_context(spark, d):
-    names = _names(spark, d).cache()
+    names = _names(spark, d)
     return S.any_of([S.like_name(names, "key", 1000), S.exact_name(names, "n_name", 1000)])
 
 
@@ -501,7 +501,7 @@ _SCORE = "(ascii(substr(x, 1, 1)) % 7) / 4.0::DOUBLE"
 
 @query(f"WITH RECURSIVE {_PROV_PATHS}, s AS (SELECT nid, list_sum(list_transform(path, lambda x: {_SCORE})) AS c FROM walk) SELECT nid, max(c) AS certainty FROM s GROUP BY nid")
 def rank_certainty(spark, d):
-    paths = drs.paths(_provenance(spark, d), 4).cache()
+    paths = drs.paths(_provenance(spark, d), 4)
     scores = paths.select("nid").distinct().select("nid", ((F.ascii("nid") % 7) / F.lit(4.0)).alias("score"))
     return drs.certainty(paths, scores)
 
