@@ -128,14 +128,24 @@ def schema_sim(nodes: DataFrame, terms, k: int = DEFAULT.schema_sim_neighbours)
     return best.select(F.least("a", "b").alias("src_nid"), F.greatest("a", "b").alias("dst_nid"), F.lit("SCHEMA_SIM").alias("relation"), F.lit(1.0).alias("score"), "cosine").distinct()
 
 
+def banded_pairs(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(a, b) of columns that share a band of MinHash, a < b."""
+    keys = F.array(*(F.hash(F.lit(b), *(F.element_at("minhash", b * rows + r + 1) for r in range(rows))) for b in range(bands)))
+    banded = signatures.select("nid", F.posexplode(keys).alias("band", "bucket"))
+    a, b = banded.withColumnRenamed("nid", "a"), banded.withColumnRenamed("nid", "b")
+    return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+
+
+def text_content_unverified(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
+    """CONTENT_SIM of all text columns that share a band, with score 1 and nothing compared further."""
+    return banded_pairs(signatures, bands, rows).select(F.col("a").alias("src_nid"), F.col("b").alias("dst_nid"), F.lit("CONTENT_SIM").alias("relation"), F.lit(1.0).alias("score"))
+
+
 def text_content(signatures: DataFrame, bands: int, rows: int, config: DiscoveryConfig = DEFAULT) -> DataFrame:
     """CONTENT_SIM of text columns: candidates share a band of MinHash, and the signatures' agreement reaches the threshold."""
     from lakescout.functions.minhash import estimated_jaccard
 
-    keys = F.array(*(F.hash(F.lit(b), *(F.element_at("minhash", b * rows + r + 1) for r in range(rows))) for b in range(bands)))
-    banded = signatures.select("nid", F.posexplode(keys).alias("band", "bucket"))
-    a, b = banded.withColumnRenamed("nid", "a"), banded.withColumnRenamed("nid", "b")
-    pairs = a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    pairs = banded_pairs(signatures, bands, rows)
     left, right = signatures.toDF("a", "ma"), signatures.toDF("b", "mb")
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", estimated_jaccard(F.col("ma"), F.col("mb")).alias("j")).where(F.col("j") >= config.minhash_threshold)
     directed = scored.union(scored.select("b", "a", "j"))

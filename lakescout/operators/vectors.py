@@ -64,6 +64,17 @@ def step_key(vector: Column, planes: list[list[float]], width: float) -> Column:
     return F.concat_ws("_", *(F.floor(dot(vector, F.array(*map(F.lit, p))) / width) for p in planes))
 
 
+def principal_planes(data: DataFrame, count: int) -> list[list[float]]:
+    """The first principal components of all vectors, whose largest entry is positive, as planes for keys. Sums of
+    products are combined in the tasks; the driver gets one square matrix of the vectors' width."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    fitted = PCA(k=count, inputCol="v", outputCol="o").fit(data.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
+    planes = fitted.pc.toArray().T.tolist()
+    return [p if max(p, key=abs) > 0 else [-x for x in p] for p in planes]
+
+
 def buckets(data: DataFrame, planes: list[list[float]]) -> DataFrame:
     return data.select("vec_id", sign_key(F.col("embedding"), planes).alias("bucket"))
 

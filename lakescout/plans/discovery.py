@@ -12,6 +12,7 @@ from lakescout.operators import joins as J
 from lakescout.operators import profile as P
 from lakescout.operators import results as RS
 from lakescout.operators import search as S
+from lakescout.operators import vectors as V
 from lakescout.operators import views as W
 from lakescout.plans import lake as L
 
@@ -19,11 +20,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str):
-    """Register a function under its name, with its DuckDB SQL."""
+def query(sql: str | None):
+    """Register a function under its name, with its DuckDB SQL if there is one."""
 
     def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -249,3 +252,29 @@ def fourc_group_relations(spark, d):
 SELECT 'contained' AS relation, (SELECT count(DISTINCT holder) FROM holds WHERE holder NOT IN (SELECT held FROM holds)) AS n UNION ALL SELECT 'complementary', (SELECT count(DISTINCT a) FROM kinds WHERE relation = 'complementary') UNION ALL SELECT 'compatible', (SELECT count(*) FROM kinds WHERE relation = 'compatible') UNION ALL SELECT 'contradictory', (SELECT count(*) FROM kinds WHERE relation = 'contradictory')""")
 def fourc_summary(spark, d):
     return W.summary(W.group_relations(_views(spark, d), "o_orderkey"))
+
+
+# --- buckets of vectors ---------------------------------------------------------------------------------------------
+
+_PLANES = V.hyperplanes(64, 4)
+_STEPS = " || '_' || ".join(f"floor(list_dot_product(embedding::DOUBLE[], {p}::DOUBLE[]) / 2)::BIGINT" for p in _PLANES)
+_SIGNS = " || ".join(f"CASE WHEN list_dot_product(embedding::DOUBLE[], {p}::DOUBLE[]) > 0 THEN '1' ELSE '0' END" for p in V.hyperplanes(64, 12))
+
+
+@query(f"SELECT vec_id, {_STEPS} AS bucket FROM embeddings")
+def ann_step_buckets(spark, d):
+    return L.table(spark, d, "embeddings").select("vec_id", V.step_key(F.col("embedding"), _PLANES, 2.0).alias("bucket"))
+
+
+@query(f"""WITH k AS (SELECT vec_id, {_SIGNS} AS bucket FROM embeddings), h AS (SELECT a.vec_id AS query_id, b.vec_id, hamming(a.bucket, b.bucket)::INTEGER AS distance FROM k a JOIN k b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (0, 7, 14, 21, 28))
+SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM h QUALIFY rank <= 10""")
+def ann_hamming_topk(spark, d):
+    keys = V.buckets(L.table(spark, d, "embeddings"), V.hyperplanes(64, 12))
+    return V.hamming_nearest(keys, keys.where("vec_id in (0, 7, 14, 21, 28)"), 10)
+
+
+@query(None)
+def ann_pca_buckets(spark, d):
+    """Signs along the first eight principal components; tests compare those with numpy's."""
+    data = L.table(spark, d, "embeddings")
+    return V.buckets(data, V.principal_planes(data, 8))

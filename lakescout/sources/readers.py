@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +95,54 @@ def read(spark: SparkSession, source: SourceConfig) -> DataFrame:
     if source.source_type not in READERS:
         raise ValueError(f"unknown source type {source.source_type!r}")
     return READERS[source.source_type](spark, **source.config)
+
+
+def files_under(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Paths of the files below a folder of any file system that end in the suffix, in order."""
+    start = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = start.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(start, True)
+    found = []
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if path.lower().endswith(suffix):
+            found.append(path)
+    return sorted(found)
+
+
+#: Source types whose path may be a folder of which each file is a table, and what their files end in.
+FILES = {"csv": ".csv", "json": ".json", "socrata": ".json", "geojson": ".geojson"}
+
+
+def discover(spark: SparkSession, sources: list[SourceConfig]) -> Iterator[tuple[str, str, DataFrame]]:
+    """(database, table, frame) of all tables of all sources. An unknown type is an error before anything is read; a
+    file that can't be read, or has fewer than two rows, is left out with a warning."""
+    unknown = [s.source_type for s in sources if s.source_type not in READERS]
+    if unknown:
+        raise ValueError(f"unknown source types {unknown}")
+
+    def found():
+        for source in sources:
+            path, suffix = source.config.get("path", ""), FILES.get(source.source_type)
+            paths = [path] if suffix is None or path.lower().endswith(suffix) else files_under(spark, path, suffix)
+            for at in paths:
+                config = {**source.config, "path": at} if at else source.config
+                try:
+                    frame = admitted(READERS[source.source_type](spark, **config))
+                except PySparkException as error:
+                    warnings.warn(f"{at or source.name} is left out: {type(error).__name__}", stacklevel=2)
+                    continue
+                if frame is None:
+                    warnings.warn(f"{at or source.name} is left out: fewer than two rows", stacklevel=2)
+                else:
+                    yield source.name, at.rsplit("/", 1)[-1] if at else config.get("table", source.name), frame
+
+    return found()
+
+
+def combined(first: DataFrame, sampled_from: DataFrame, total: int, seed: int = 42) -> DataFrame:
+    """(uri): all of the first list and as many of the second as are missing to the total, in an order that only the
+    seed decides. The sample is of the rows with the smallest hashes, so a lost task can't change it."""
+    missing = max(0, total - first.count())
+    order = F.xxhash64(F.lit(seed), "uri")
+    more = sampled_from.select("uri").orderBy(order, "uri").limit(missing)
+    return first.select("uri").union(more).orderBy(F.xxhash64(F.lit(seed + 1), "uri"), "uri")

@@ -1,13 +1,15 @@
 """Join graphs, result sets with provenance, and groups of views, against small cases worked out by hand."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from lakescout.operators import dod, joins, views
+from lakescout.operators import dod, edges, joins, vectors, views
 from lakescout.operators import joingraphs as JG
 from lakescout.operators import results as RS
 from lakescout.operators import search as S
 from lakescout.plans import discovery
+from lakescout.sources import readers
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,7 +23,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(discovery.QUERIES))
+@pytest.mark.parametrize("name", sorted(discovery.ORACLES))
 def test_query_equals_oracle(spark, duck, name):
     found = discovery.QUERIES[name](spark, SF)
     columns = sorted(found.columns)
@@ -170,3 +172,44 @@ def test_estimates_and_projections(spark, lake):
     row = joins.join_estimate(tables["o"], tables["c"], 100).first()
     assert (row["row_bytes"], row["cartesian_rows"], row["cartesian_bytes"], row["fits"]) == (40, 6, 240, False)
     assert joins.attributes_to_project([("b", ""), ("a", "1"), ("b", ""), ("z", "")], ["a", "b"]) == ["b", "a"]
+
+
+def test_principal_planes_equal_those_of_the_covariance(spark):
+    rows = np.random.default_rng(2).normal(size=(300, 4)) * (5, 3, 2, 1)
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    planes = np.array(vectors.principal_planes(data, 2))
+    wanted = np.linalg.eigh(np.cov(rows.T))[1][:, ::-1][:, :2].T
+    assert np.allclose(np.abs((planes * wanted).sum(1)), 1)
+    assert all(max(p, key=abs) > 0 for p in planes.tolist())
+    expected = ["".join("1" if v @ p > 0 else "0" for p in planes) for v in rows]
+    assert [r["bucket"] for r in vectors.buckets(data, planes.tolist()).orderBy("vec_id").collect()] == expected
+
+
+def test_columns_that_share_a_band(spark):
+    signatures = spark.createDataFrame([("a", [1, 2, 3, 4]), ("b", [1, 2, 9, 9]), ("c", [7, 2, 8, 8])], "nid string, minhash array<long>")
+    assert [tuple(r) for r in edges.text_content_unverified(signatures, 2, 2).collect()] == [("a", "b", "CONTENT_SIM", 1.0)]
+    assert edges.text_content(signatures, 2, 2).collect() == []
+
+
+def test_sources_are_found_in_folders(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.csv").write_text("x,y\n1,a\n2,b\n")
+    (tmp_path / "deep" / "b.csv").write_text("z\n1\n2\n")
+    (tmp_path / "one.csv").write_text("z\n1\n")
+    (tmp_path / "note.txt").write_text("no table")
+    with pytest.warns(UserWarning, match="fewer than two rows"):
+        found = list(readers.discover(spark, [readers.SourceConfig("lake", "csv", {"path": str(tmp_path)})]))
+    assert [(db, t, df.columns) for db, t, df in found] == [("lake", "a.csv", ["x", "y"]), ("lake", "b.csv", ["z"])]
+    with pytest.raises(ValueError):
+        readers.discover(spark, [readers.SourceConfig("x", "no such type")])
+    with pytest.warns(UserWarning, match="left out"):
+        assert list(readers.discover(spark, [readers.SourceConfig("x", "parquet", {"path": str(tmp_path / "none")})])) == []
+
+
+def test_lists_are_combined_to_a_total(spark):
+    first = spark.createDataFrame([("a",), ("b",)], "uri string")
+    more = spark.createDataFrame([(f"m{i}",) for i in range(50)], "uri string")
+    out = [r["uri"] for r in readers.combined(first, more, 10).collect()]
+    assert len(set(out)) == 10 and {"a", "b"} <= set(out)
+    assert out == [r["uri"] for r in readers.combined(first, more.repartition(7), 10).collect()]
+    assert sorted(r["uri"] for r in readers.combined(first, more, 1).collect()) == ["a", "b"]
