@@ -153,6 +153,10 @@ def group_relations(views: dict[str, DataFrame], key: str) -> DataFrame:
 def summary(relations: DataFrame) -> DataFrame:
     """(relation, n): how many choices a user has: groups, not pairs. Complementary pairs count by their first view,
     and of containers only those count that no other view holds."""
+    from lakescout.operators.lineage import cut
+
+    # A row for each pair of views, made once from their data.
+    relations = cut(relations)
     holders = outer_containers(relations).select("holder").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("contained").alias("relation"), "n")
     first = relations.where("relation = 'complementary'").select("a").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("complementary"), "n")
     rest = [relations.where(F.col("relation") == kind).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind), "n") for kind in ("compatible", "contradictory")]
