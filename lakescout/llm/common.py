@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into Python objects at once; bounds its memory for long texts.
 SLICE_ROWS = 256
+#: What a worker keeps after a task without looking for free memory.
+KEPT_BYTES = 150_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,14 +101,35 @@ def map_batches(df: DataFrame, run, ddl) -> DataFrame:
     """``df.mapInArrow`` with this package's modules at hand in the workers. A worker that goes on to another
     module's tasks lets go of what it held for the one before."""
     ship(df.sparkSession)
+    return df.mapInArrow(alone(run), ddl)
+
+
+def alone(run):
+    """``run`` for tasks of its module: a worker lets go of what it held for another one, and gives free memory back
+    when the task has ended, as idle workers stay beside those of the next stage."""
     module = run.__module__
 
-    def alone(batches):
+    def task(batches):
         for other in [k for k in HELD if k[0] != module]:
             del HELD[other]
-        return run(batches)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
-    return df.mapInArrow(alone, ddl)
+
+def give_back(least: int = KEPT_BYTES) -> None:
+    """Return free memory of the allocators to the system, if this process has more than so many bytes."""
+    try:
+        resident = int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not Linux, or another C library
+        return
+    if resident > least:
+        pa.default_memory_pool().release_unused()
+        trim(0)
 
 
 def remainder(doc_id: Column) -> Column:

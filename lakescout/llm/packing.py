@@ -192,6 +192,7 @@ def cut_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
                         column.append(value)
                     start += length
             yield rows_to_batch(schema, out)
+            pa.default_memory_pool().release_unused()  # Arrow keeps what a part took and takes more for the next one
 
     return map_batches(documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), run, ddl)
 

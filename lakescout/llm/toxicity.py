@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import zstandard as zstd
@@ -37,12 +38,32 @@ ORDINARY_BYTES = 16_384
 GRAMS = range(4, 11)
 #: Least log-likelihood ratio of a telling n-gram.
 LEAST = 24.0
+#: Documents that hold a word which are listed by number at most.
+FEW = 8
 THRESHOLD = 0.5
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return (text or "").encode().lower().split()
+
+
+def word_sets(*classes: list[str | None]) -> list[set[frozenset]]:
+    """The sets of words of each class of texts; copies count once. A word is one object, however many hold it."""
+    one: dict[bytes, str] = {}
+    return [{frozenset(one.get(w) or one.setdefault(w, w.decode()) for w in words_of(t)) for t in texts} for texts in classes]
+
+
+def runs(texts: list[str | None], words: int = 16):
+    """Runs of so many words of each text, one after the other."""
+    for found in map(words_of, texts):
+        for i in range(0, len(found), words):
+            yield b" ".join(found[i : i + words])
+
+
 def windows(text: str | None, words: int = WINDOW_WORDS) -> list[bytes]:
     """The whole text, A-Z lower-cased, as windows of a few words each joined by one space, with a space at either end."""
-    found = (text or "").encode().lower().split()
+    found = words_of(text)
     return [b" " + b" ".join(found[i : i + words]) + b" " for i in range(0, len(found), words)]
 
 
@@ -87,10 +108,10 @@ def train_ordinary(samples: list[bytes], size: int = ORDINARY_BYTES) -> bytes:
         return (b"".join(samples) or b" ")[-size:]
 
 
-def grams(word: str) -> set[str]:
+def grams(word: str, lengths=GRAMS) -> set[str]:
     """Runs of characters of a word with a space at either end, of all the lengths."""
     w = f" {word} "
-    return {w[i : i + k] for k in GRAMS for i in range(len(w) - k + 1)}
+    return {w[i : i + k] for k in lengths for i in range(len(w) - k + 1)}
 
 
 def unlike(documents: list[frozenset]) -> list[frozenset]:
@@ -107,20 +128,39 @@ def unlike(documents: list[frozenset]) -> list[frozenset]:
     return [document for _, document in found]
 
 
-def holders_of_words(documents: list[frozenset]) -> dict[str, int]:
-    """Which documents hold a word, as the bits of a number."""
-    out: dict[str, int] = {}
+def holders_of_words(documents: list[frozenset]) -> dict[str, int | tuple[int, ...]]:
+    """Which documents hold a word: their numbers, and above ``FEW`` of them the bits of a number. Most words are in
+    one document or two, and the bits take as many as there are documents."""
+    out: dict[str, int | tuple[int, ...]] = {}
     for number, document in enumerate(documents):
+        own = (number,)
         for w in document:
-            out[w] = out.get(w, 0) | 1 << number
+            held = out.get(w)
+            if held is None:
+                out[w] = own
+            elif isinstance(held, tuple) and len(held) < FEW:
+                out[w] = (*held, number)
+            else:
+                out[w] = bits_of(held) | 1 << number
     return out
 
 
-def holders(words: dict[str, int], wanted=None) -> dict[str, int]:
+def bits_of(held: int | tuple[int, ...]) -> int:
+    """The documents that hold a word, as the bits of a number."""
+    if isinstance(held, int):
+        return held
+    bits = 0
+    for number in held:
+        bits |= 1 << number
+    return bits
+
+
+def holders(words: dict[str, int | tuple[int, ...]], wanted=None, lengths=GRAMS) -> dict[str, int]:
     """Which documents hold an n-gram of words; with ``wanted``, of those n-grams alone."""
     out: dict[str, int] = {}
-    for w, bits in words.items():
-        for g in grams(w) if wanted is None else grams(w) & wanted:
+    for w, held in words.items():
+        bits = bits_of(held)
+        for g in grams(w, lengths) if wanted is None else grams(w, lengths) & wanted:
             out[g] = out.get(g, 0) | bits
     return out
 
@@ -133,7 +173,7 @@ def likelihood_ratio(a: int, b: int, n: int, m: int) -> float:
     return 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0))
 
 
-def apart(candidates: set[str], toxic: dict[str, int], ordinary: dict[str, int], n: int, m: int) -> list[str]:
+def apart(candidates: set[str], toxic: dict[str, int], ordinary: dict[str, int | tuple[int, ...]], n: int, m: int) -> list[str]:
     """The candidates best first, each judged by the words that none before it is in."""
     index: dict[str, list[str]] = {}
     for w in toxic.keys() | ordinary.keys():
@@ -145,7 +185,7 @@ def apart(candidates: set[str], toxic: dict[str, int], ordinary: dict[str, int],
         a = b = 0
         for w in index[g]:
             if w not in used:
-                a, b = a | toxic.get(w, 0), b | ordinary.get(w, 0)
+                a, b = a | toxic.get(w, 0), b | bits_of(ordinary.get(w, 0))
         return likelihood_ratio(a.bit_count(), b.bit_count(), n, m)
 
     ratios, found = {g: judged(g) for g in index}, []
@@ -171,13 +211,17 @@ def telling_grams(toxic: list[frozenset], ordinary: list[frozenset]) -> list[str
     """
     toxic = unlike(toxic)
     words, plain = holders_of_words(toxic), holders_of_words(ordinary)
-    here = {g: bits for g, bits in holders(words).items() if bits.bit_count() >= 3}
-    there = {g: bits.bit_count() for g, bits in holders(plain, here.keys()).items()}
+    here: dict[str, int] = {}
+    there: dict[str, int] = {}
+    for k in GRAMS:  # one length at a time: most n-grams are in too few documents, and a bit for each document is large
+        own = {g: bits for g, bits in holders(words, lengths=(k,)).items() if bits.bit_count() >= 3}
+        there |= {g: bits.bit_count() for g, bits in holders(plain, own.keys(), (k,)).items()}
+        here |= own
     left, m, found = (1 << len(toxic)) - 1, len(ordinary), []
     while left:
         n = left.bit_count()
         candidates = {g for g, bits in here.items() if likelihood_ratio((bits & left).bit_count(), there.get(g, 0), n, m) >= LEAST}
-        new = apart(candidates, {w: bits & left for w, bits in words.items() if bits & left}, plain, n, m)
+        new = apart(candidates, {w: bits for w, held in words.items() if (bits := bits_of(held) & left)}, plain, n, m)
         if not new:
             break
         found += new
@@ -190,7 +234,7 @@ def train_toxic(documents: list[frozenset], telling: list[str], whole_words: boo
     """The telling n-grams, the best last; before them, if wanted, the words of more than one document that they are
     in, the most frequent last."""
     wanted = set(telling)
-    words = {w: bits.bit_count() for w, bits in holders_of_words(documents).items() if bits.bit_count() > 1 and grams(w) & wanted}
+    words = {w: n for w, held in holders_of_words(documents).items() if (n := bits_of(held).bit_count()) > 1 and grams(w) & wanted}
     most = sorted(words if whole_words else (), key=lambda w: (words[w], w))
     return "".join([*(f" {w} " for w in most), *reversed(telling)]).encode()
 
@@ -200,15 +244,14 @@ def fit(toxic: list[str], ordinary: list[str]) -> Dictionaries:
 
     With no document of a class, or nothing that tells them apart, every score is the smoothed share of toxic ones.
     """
-    split = [[(t or "").encode().lower().split() for t in texts] for texts in (toxic, ordinary)]
-    sets = [list({frozenset(w.decode() for w in d) for d in texts}) for texts in split]  # copies count once
+    sets = [list(x) for x in word_sets(toxic, ordinary)]
     share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
     flat = Dictionaries(b" ", b" ", 1, 0.0, math.log(share / (1 - share)))
     telling = telling_grams(*sets) if toxic and ordinary else []
     if not telling:
         return flat
-    plain = [b" ".join(d[i : i + 16]) for d in split[1] for i in range(0, len(d), 16)]
-    base = train_ordinary(plain[:: 1 + len(plain) // TRAINING_RUNS])
+    every = 1 + sum(1 for _ in runs(ordinary)) // TRAINING_RUNS
+    base = train_ordinary(list(islice(runs(ordinary), 0, None, every)))
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     best, model = math.inf, flat
     # Whole words save more where a class forms them alike, and cost more where ordinary text has them too.

@@ -1,8 +1,9 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 
-from lakescout.llm import quality, toxicity
+from lakescout.llm import common, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,3 +79,32 @@ def test_a_small_toxic_class_beside_a_large_one():
     assert "réeu".encode() in model.toxic[: -len(model.ordinary)]
     assert np.mean(model.score([text("fr", foul()) for _ in range(40)]) > 0.5) > 0.5
     assert np.mean(model.score([text("fr") for _ in range(40)] + [text("en") for _ in range(40)]) < 0.5) > 0.95
+
+
+def test_holders_of_rare_words_take_no_bit_for_each_document():
+    documents = [frozenset([f"w{i}x{j}" for j in range(10)] + ["all", *(["many"] if i % 100 == 0 else [])]) for i in range(4000)]
+    tracemalloc.start()
+    held = toxicity.holders_of_words(documents)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 6e6  # bits alone take about 14 MB
+    assert toxicity.bits_of(held["w3999x0"]) == 1 << 3999
+    assert toxicity.bits_of(held["all"]) == (1 << 4000) - 1
+    assert toxicity.bits_of(held["many"]) == sum(1 << i for i in range(0, 4000, 100))
+    assert toxicity.holders({k: held[k] for k in ("many", "all")}, {" all", "any "}, (4,)) == {" all": (1 << 4000) - 1, "any ": toxicity.bits_of(held["many"])}
+
+
+def test_a_worker_gives_memory_back_after_a_task():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(batches):
+        rows = [np.ones(8000) for _ in range(4000)]
+        common.held(__name__, "last", lambda: rows[-1])  # keeps the C library from giving back what lies before it
+        yield from batches
+
+    before = resident()
+    try:
+        assert list(common.alone(run)(iter([1, 2]))) == [1, 2]
+        assert resident() - before < 60e6  # the rows take 256 MB
+    finally:
+        common.HELD.clear()
