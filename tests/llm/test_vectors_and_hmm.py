@@ -197,3 +197,40 @@ def test_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
     v = np.random.default_rng(5).standard_normal((1500, 32))
     ann_graph.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>"))
     assert len(shares) > 2 and shares[-1] <= ann_graph.SETTLED
+
+
+def test_meetings_equal_brute_force():
+    rng, width = np.random.default_rng(6), 8
+    guests = np.zeros(300, ann_graph.guests_type(width))
+    guests["at"], guests["other"], guests["new"] = np.arange(300) % 11, rng.permutation(300), rng.random(300) < 0.3
+    guests["worst"], guests["code"] = rng.random(300) - 0.2, rng.integers(-127, 128, (300, width))
+    want = set()
+    for host in range(11):
+        own = guests[guests["at"] == host]
+        codes = ann_graph.unit(own["code"])
+        for i, a in enumerate(own):
+            met = sorted(((float(codes[i] @ codes[j]), b["other"]) for j, b in enumerate(own) if i != j and (a["new"] or b["new"])), reverse=True)
+            want |= {(a["other"], q) for s, q in met[: ann_graph.MET] if s > a["worst"]}
+    found = ann_graph.meetings_of(guests)
+    assert {(m["at"], m["other"]) for m in found} == want and len(found) == len(want)
+
+
+def test_top_of_holds_the_greatest():
+    sims = np.random.default_rng(7).standard_normal((20, 2100)).astype(np.float32)
+    row, column = ann_graph.top_of(sims, 40)
+    for i in range(20):
+        assert set(np.argsort(-sims[i])[:40]) <= set(column[row == i]) and (row == i).sum() < 120
+
+
+def test_a_round_makes_no_row_for_each_edge(spark, monkeypatch):
+    v = np.random.default_rng(8).integers(-127, 128, (600, 8)).astype(np.int8)
+    monkeypatch.setattr(ann_graph, "BLOCK_POINTS", 64)
+    points = spark.createDataFrame([(i, x.astype(float).tolist(), bytearray(x.tobytes())) for i, x in enumerate(v)], "p bigint, embedding array<double>, code binary")
+    graph = ann_graph.durable(ann_graph.merged(ann_graph.bundled(points, 8, 1), ann_graph.first_neighbours(points, 8, 2), 8, 1))
+    after = ann_graph.improved(graph, 8, 1)
+    assert "Generate" not in after._jdf.queryExecution().executedPlan().toString()
+    before, lists = (np.frombuffer(df.first()["data"], ann_graph.points_type(8)) for df in (graph, after))
+    assert (before["p"] == np.arange(600)).all() and (lists["p"] == np.arange(600)).all()
+    assert (lists["s"] >= before["s"]).all() and (lists["s"].sum(1) > before["s"].sum(1)).any()
+    for a, b in zip(before["q"], lists, strict=True):
+        assert set(b["q"][b["new"]]) == set(b["q"]) - set(a) - {-1} and len(set(b["q"])) == ann_graph.NEIGHBOURS
